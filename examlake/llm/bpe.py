@@ -3,9 +3,9 @@
 A text is cut where a character that is no white space is followed by ASCII
 white space: the tokenizer's own pattern always cuts there, so each chunk (white
 space, then the word) has the same ids alone as in the text.  Chunks are counted
-over all texts, each distinct chunk is encoded once by the library, and the ids
-come back by position.  Ids become text again through an id-to-piece table, whose
-size is the vocabulary's.
+over all texts, the distinct chunks of the table are encoded once each by the
+library, and the ids come back by position.  Ids become text again through an
+id-to-piece table, whose size is the vocabulary's.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,8 +68,8 @@ def chunks(text: bytes, path: str) -> list[bytes]:
 
 
 def width(path: str) -> str:
-    """The narrowest integers that hold the vocabulary's ids and, as their largest value, the mark of an absent chunk."""
-    return "<u2" if tokenizer(path).get_vocab_size() < 0xFFFF else "<u4"
+    """The narrowest integers that hold the vocabulary's ids."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 0x10000 else "<u4"
 
 
 def encode_pieces(pieces: list[bytes], path: str) -> list[bytes]:
@@ -79,77 +78,43 @@ def encode_pieces(pieces: list[bytes], path: str) -> list[bytes]:
     return [np.asarray(x.ids, kind).tobytes() for x in tokenizer(path).encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
 
 
-def chunk_table(docs: DataFrame, path: str) -> DataFrame:
-    """``piece, n, ids``: every distinct chunk of the texts, its count and its ids, encoded once; written to the shared folder."""
+def chunk_table(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
+    """``piece, ids``: the most frequent distinct chunks of all texts, at most ``head``, each encoded once."""
+    counts = written(count_pieces(docs, lambda text: chunks(text, path)), "chunks")
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encode_pieces(batch.column("piece").to_pylist(), path)
-        return pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array(ids, pa.binary())], ["piece", "n", "ids"])
+    def ids_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(encode_pieces(batch.column("piece").to_pylist(), path), pa.binary())], ["piece", "ids"])
 
-    return written(map_batches(count_pieces(docs, lambda text: chunks(text, path)), encode, "piece binary, n long, ids binary"), "chunks")
-
-
-def _filled(ids: bytes, parts: list[bytes], kind: str) -> bytes:
-    """The ids with each mark of an absent chunk replaced by the next of ``parts``, as 32-bit integers."""
-    codes = np.frombuffer(ids, kind)
-    if parts:
-        size = codes.itemsize
-        cut = np.flatnonzero(codes == np.iinfo(codes.dtype).max) * size
-        begin, end = [0, *(cut + size)], [*cut, len(ids)]
-        codes = np.frombuffer(b"".join(x for k, (a, b) in enumerate(zip(begin, end, strict=True)) for x in (ids[a:b], parts[k] if k < len(parts) else b"")), kind)
-    return codes.astype("<u4").tobytes()
+    return map_batches(head_of(counts, head)[0].select("piece"), ids_of, "piece binary, ids binary")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", head: int = HEAD) -> DataFrame:
     """``key, ids binary``: each text's ids as little-endian unsigned 32-bit integers.
 
-    ``key`` identifies rows of ``docs`` and is not null; columns beyond it and
-    ``text`` are ignored.  Null and empty texts have no ids; texts of any length
-    are encoded whole; an empty frame gives an empty frame.  ``head`` bounds the
-    broadcast part of the chunk table.
+    Columns beyond ``key`` and ``text`` are ignored; rows may repeat and keys
+    may be null.  Null and empty texts have no ids; texts of any length are
+    encoded whole; an empty frame gives an empty frame.  ``head`` bounds the
+    broadcast chunk table.  Every chunk of the table is encoded once; each of
+    the rare chunks beyond it is encoded where it stands, because a join by
+    position would shuffle every text twice for their sake.
     """
-    spark, kind = docs.sparkSession, width(path)
+    kind = width(path)
     rows = docs.select(F.col(key).alias("key"), "text")
-    key_type = rows.schema["key"].dataType.simpleString()
-    often, seldom = head_of(chunk_table(rows, path), head)
-    known = spark.sparkContext.broadcast({bytes(r["piece"]): bytes(r["ids"]) for r in often.select("piece", "ids").collect()})
-    mark = b"\xff" * np.dtype(kind).itemsize
+    known = docs.sparkSession.sparkContext.broadcast({bytes(r["piece"]): bytes(r["ids"]) for r in chunk_table(rows, path, head).collect()})
 
     def look_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of, ids, absent = known.value, [], []
+        of, out = known.value, []
         for text in texts_of(batch):
             pieces = chunks(text, path)
-            parts = [of.get(x, mark) for x in pieces]
-            absent.append([x for x, part in zip(pieces, parts, strict=True) if part is mark])
-            ids.append(zlib.compress(b"".join(parts), 1))
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary()), pa.array(absent, pa.list_(pa.binary()))], ["key", "ids", "absent"])
-
-    # A text is a row of its own with the ids known so far, then a row for each absent chunk.  Texts' own rows join under
-    # a byte that no UTF-8 text holds and their key, so they spread over all tasks and meet nothing.
-    found = map_batches(rows, look_up, f"key {key_type}, ids binary, absent array<binary>")
-    own = F.struct(F.lit(-1).alias("at"), F.concat(F.lit(b"\xff"), F.col("key").cast("string").cast("binary")).alias("piece"), "ids")
-    rest = F.transform("absent", lambda x, i: F.struct(i.alias("at"), x.alias("piece"), F.lit(None).cast("binary").alias("ids")))
-    flat = found.select("key", F.inline(F.concat(F.array(own), rest)))
-    flat = flat.join(seldom.select("piece", F.col("ids").alias("joined")), "piece", "left").select("key", "at", F.coalesce("joined", "ids").alias("ids"))
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, parts = None, None, []
-        for batch in batches:
-            keys, out = [], []
-            for k, at, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at >= 0:
-                    parts.append(x)
-                    continue
-                if ids is not None:
-                    keys.append(key)
-                    out.append(_filled(ids, parts, kind))
-                key, ids, parts = k, zlib.decompress(x), []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(out, pa.binary())], ["key", "ids"])
-            held = batch.column(0).type
-        if ids is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key], held), pa.array([_filled(ids, parts, kind)], pa.binary())], ["key", "ids"])
-
-    return flat.repartition("key").sortWithinPartitions("key", "at").mapInArrow(assemble, f"key {key_type}, ids binary").withColumnRenamed("key", key)
+            parts = list(map(of.get, pieces))
+            if None in parts:
+                rare = list({x for x, part in zip(pieces, parts, strict=True) if part is None})
+                own = dict(zip(rare, encode_pieces(rare, path), strict=True))
+                parts = [own[x] if part is None else part for x, part in zip(pieces, parts, strict=True)]
+            out.append(np.frombuffer(b"".join(parts), kind).astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "ids"])
+
+    return map_batches(rows, look_up, f"key {rows.schema['key'].dataType.simpleString()}, ids binary").withColumnRenamed("key", key)
 
 
 def id_pieces(spark, path: str) -> DataFrame:
