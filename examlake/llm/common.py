@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows whose results a Python worker builds at once.
+PART = 1000
 #: ASCII space, tab, line feed, vertical tab, form feed, carriage return: what ``bytes.split()`` splits at.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -37,12 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches that Spark has bounded in rows and bytes."""
+    """``mapInArrow`` over batches that Spark has bounded in rows and bytes, PART rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for begin in range(0, batch.num_rows, PART):
+                yield fn(batch.slice(begin, PART))
 
     return df.mapInArrow(run, schema)
 

@@ -18,8 +18,8 @@ from examlake.llm.bpe import chunks, encode_pieces, width
 from examlake.llm.common import texts_of
 
 CACHE = "version string, digest string, n_bytes long, n_tokens long"
-#: Chunks whose counts a Python worker remembers between batches and tasks, about 60 MB.
-REMEMBERED = 400_000
+#: Chunks whose counts a Python worker remembers between batches and tasks, about 30 MB.
+REMEMBERED = 200_000
 _REMEMBERED: dict[str, dict[bytes, int]] = {}
 
 

@@ -18,36 +18,41 @@ from pyspark.sql import functions as F
 from examlake.llm.common import texts_of
 
 #: Distinct pieces that a task holds before it passes its counts on.
-HELD = 400_000
-#: Most rows of a broadcast head: about 50 MB as a Python dictionary.
-HEAD = 300_000
+HELD = 200_000
+#: Most rows of a broadcast head: about 35 MB as a Python dictionary.
+HEAD = 200_000
 
 
-def count_pieces(docs: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataFrame:
-    """``piece binary, n long``: how often each distinct piece stands in the texts of ``docs`` (column ``text``).
+def count_pieces(docs: DataFrame, split: Callable[[bytes], list[bytes]], chosen: str | None = None) -> DataFrame:
+    """``piece binary, n long, t long``: how often each distinct piece stands in the texts of ``docs`` (column ``text``).
 
-    Tasks sum what they hold before anything is shuffled.  Null and empty texts
-    have no pieces; an empty frame gives an empty table.
+    ``t`` counts only rows whose boolean column ``chosen`` is true (all rows
+    without one).  Tasks sum what they hold before anything is shuffled.  Null
+    and empty texts have no pieces; an empty frame gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
-        def out() -> pa.RecordBatch:
-            pair = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["piece", "n"])
-            held.clear()
-            return pair
+        def out(side: int) -> pa.RecordBatch:
+            words = held[side]
+            n = pa.array(words.values(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), n, n if side else pa.array([0] * len(words), pa.int64())], ["piece", "n", "t"])
+            words.clear()
+            return batch
 
         for batch in batches:
-            for text in texts_of(batch):
-                held.update(split(text))
-                if len(held) > HELD:
-                    yield out()
-        if held:
-            yield out()
-
-    parts = docs.select("text").mapInArrow(run, "piece binary, n long")
-    return parts.groupBy("piece").agg(F.sum("n").alias("n"))
+            sides = batch.column("chosen").to_pylist()
+            for text, side in zip(texts_of(batch), sides, strict=True):
+                held[side].update(split(text))
+                if len(held[side]) > HELD:
+                    yield out(side)
+        for side in (0, 1):
+            if held[side]:
+                yield out(side)
+
+    rows = docs.select("text", (F.coalesce(F.col(chosen), F.lit(False)) if chosen else F.lit(True)).alias("chosen"))
+    return rows.mapInArrow(run, "piece binary, n long, t long").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def head_of(table: DataFrame, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
