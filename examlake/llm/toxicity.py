@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.common import map_batches, texts_of
+from examlake.llm.common import map_batches, texts_of, written
 
 #: A subsequence reaches over at most REACH characters and loses DECAY for each character that it skips.
 REACH, DECAY = 8, 0.6
@@ -31,8 +31,8 @@ LONGEST = 24
 #: Labelled documents of each class that a fit reads at most, and words of clean documents.
 MAX_TOXIC, MAX_CLEAN, MAX_WORDS = 4000, 8000, 20000
 LANDMARKS = 160
-#: Word scores that a Python worker remembers, about 50 MB.
-REMEMBERED = 400_000
+#: Word scores that a Python worker remembers, about 25 MB.
+REMEMBERED = 200_000
 
 # Characters often written for a letter.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -139,33 +139,13 @@ def variants(word: str) -> list[str]:
     return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i])]
 
 
-def witnesses(docs: list[tuple[int, list[str]]], least: int) -> list[str]:
-    """A greedy cover: the words that explain most toxic documents that no earlier word explains, down to ``least`` at a time."""
-    holds = defaultdict(set)
-    for d, words in docs:
-        for w in words:
-            holds[w].add(d)
-    out, gain = [], {w: len(d) for w, d in holds.items()}
-    while gain and len(out) < LANDMARKS // 2:
-        best = max(gain, key=lambda w: (gain[w], w))
-        if gain[best] < least:
-            break
-        out.append(best)
-        gone = set(holds[best])
-        for w, d in holds.items():
-            d -= gone
-            gain[w] = len(d)
-        gain = {w: n for w, n in gain.items() if n}
-        holds = {w: holds[w] for w in gain}
-    return out
-
-
 def machine(positive: list[str], negative: list[str]) -> Model:
     """Nyström features over landmarks of both classes and a squared-hinge linear machine on them, folded into triple weights."""
     grown = [x for w in positive for x in [w, *variants(w)]]
     near = kernel(negative, positive).max(1) if positive and negative else np.zeros(len(negative))
     hard = [negative[i] for i in np.argsort(-near, kind="stable")]
-    marks = [*positive, *hard[: LANDMARKS - len(positive)]]
+    marks = positive[: LANDMARKS // 2]
+    marks += hard[: LANDMARKS - len(marks)]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) * (values > 1e-6)
     x = np.vstack([kernel(grown, marks), kernel(negative, marks)]).astype(np.float64) @ root
@@ -187,57 +167,53 @@ def machine(positive: list[str], negative: list[str]) -> Model:
 
 
 def calibrated(model: Model, worst: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Logistic regression of the label on the worst margin, with a ridge so that separable labels have a finite slope."""
-    a, b = 4.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * worst + b, -30, 30)))
-        g = np.array([((p - toxic) * worst * weight).sum() + 1e-2 * len(worst) ** 0.5 * (a - 4), ((p - toxic) * weight).sum()])
-        s = p * (1 - p) * weight
-        h = np.array([[(s * worst**2).sum() + 1e-2 * len(worst) ** 0.5, (s * worst).sum()], [(s * worst).sum(), s.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-9:
-            break
-    a = max(a, 0.5)
-    return Model(model.weights, model.bias, a, -b / a)
+    """Slope and middle of least weighted log loss, on a grid that keeps slopes finite where the labels can be told apart."""
+    best = (np.inf, 4.0, 0.0)
+    for slope in (1.0, 2.0, 3.0, 4.0, 6.0, 8.0):
+        for middle in np.linspace(-1, 1.5, 51):
+            z = np.clip(slope * (worst - middle), -30, 30) * np.where(toxic > 0, 1, -1)
+            best = min(best, (float((weight * np.log1p(np.exp(-z))).sum()), slope, float(middle)))
+    return Model(model.weights, model.bias, *best[1:])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Fit on the sentences of at most ``max_toxic`` and ``max_clean`` labelled documents, chosen by hash of their key.
 
-    Each toxic document is a bag of sentences of which at least one is toxic; of
-    clean documents all are clean.  Words that stand in toxic sentences and
-    hardly in clean ones, and explain toxic documents that no other word does,
-    become the positive words.  Without both labels the model scores every text 0.
+    A sentence has its document's label; one that also stands in a clean
+    document is clean, and repeated sentences count once.  The positive words
+    are those whose sentences are toxic far beyond chance, the negative ones a
+    bounded sample of the words of clean sentences.  Without both labels, or
+    without such words, the model scores every text near 0.
     """
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").dropDuplicates(["key"])
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
-    sample = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen[0].union(chosen[1])), "key").dropDuplicates(["key"])
+    sample = written(docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen[0].union(chosen[1])), "key").dropDuplicates(["key"]), "labelled")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [sorted({plain(w) for s in _SENTENCE.split(t.decode("utf-8", "replace").lower()) for w in words_of(s)} - {""}) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], ["key", "toxic", "words"])
+        found = [[sorted({plain(w) for w in words_of(s)} - {""}) for s in _SENTENCE.split(t.decode("utf-8", "replace").lower())] for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.list_(pa.string())))], ["toxic", "sentences"])
 
-    bags = map_batches(sample.select("key", "toxic", "text"), read, f"key {docs.schema[key].dataType.simpleString()}, toxic int, words array<string>")
-    read_of = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
-    nt, nc = read_of.get(1, 0), read_of.get(0, 0)
+    sentences = map_batches(sample, read, "toxic int, sentences array<array<string>>").select("toxic", F.explode("sentences").alias("words")).where("size(words) > 0")
+    sentences = written(sentences.groupBy("words").agg(F.min("toxic").alias("toxic")), "sentences")
+    counts = written(sentences.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")), "words")
     nothing = Model(np.zeros(CODES**3, np.float32), -1.0, 4.0, 2.0)
-    if not nt or not nc:
+    share, distinct = sentences.agg(F.avg("toxic")).first()[0] or 0.0, counts.count()
+    if not 0 < share < 1:
         return nothing
-    counts = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    marked_words = counts.where((F.length("word") > 2) & (F.col("t") >= 2) & (F.col("t") * nc >= 25 * nt * (F.col("c") + F.lit(0.2) * F.log1p("t"))))
-    marked_words = marked_words.orderBy(F.desc("t"), "word").limit(MAX_WORDS).select("word")
-    clean = [r["word"] for r in counts.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).select("word").collect()]
-    often = [r["word"] for r in counts.where("c > 1").orderBy(F.desc("c"), "word").limit(2000).select("word").collect()]
-    held = bags.where("toxic = 1").select("key", F.explode("words").alias("word")).join(F.broadcast(marked_words), "word").groupBy("key").agg(F.collect_list("word").alias("words")).collect()
-    positive = witnesses([(r["key"], r["words"]) for r in held], max(2, nt // 600))
-    if not positive:
+    # Words that chance would give such a share of toxic sentences less than once in ten corpora (Chernoff's bound, for all words).
+    ratio = F.col("t") / F.col("n")
+    beyond = F.col("n") * (ratio * F.log(ratio / share) + F.when(ratio < 1, (1 - ratio) * F.log((1 - ratio) / (1 - share))).otherwise(0.0)) > float(np.log(10 * distinct))
+    toxic_words = counts.where((F.length("word") > 2) & (F.col("t") > 0) & (ratio >= 0.9)).where(beyond)
+    positive = [r["word"] for r in toxic_words.orderBy(F.desc("t"), "word").limit(400).select("word").collect()]
+    clean = counts.where("t < 0.5 * n")
+    negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).union(clean.orderBy(F.desc("n"), "word").limit(2000)).select("word").distinct().collect()]
+    if not positive or not negative:
         return nothing
-    model = machine(positive, sorted({*clean, *often} - set(positive)))
-    worst = score(sample.select("key", "text", "toxic"), model, "key", keep=["toxic"]).select("toxic", "worst").toPandas()
+    model = machine(positive, sorted(negative))
+    worst = score(sample, model, "key", keep=["toxic"]).select("toxic", "worst").toPandas()
     toxic = worst["toxic"].to_numpy(np.float64)
-    weight = np.where(toxic > 0, sizes[1] / nt, sizes[0] / nc) / ((sizes[0] + sizes[1]) / (nt + nc))
+    weight = np.where(toxic > 0, sizes.get(1, 0) / max((toxic > 0).sum(), 1), sizes.get(0, 0) / max((toxic == 0).sum(), 1))
     return calibrated(model, worst["worst"].to_numpy(np.float64), toxic, weight)
 
 
@@ -263,6 +239,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: list[str] |
         worst = np.array([*worst, *(m.worst(part, known) if part else ())], np.float64)
         return pa.RecordBatch.from_arrays([batch.column(key), *(batch.column(c) for c in keep), pa.array(worst), pa.array(m.scores(worst))], [key, *keep, "worst", "score"])
 
-    rows = docs.select(key, *keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = docs.select(key, *keep, *(() if "text" in keep else ("text",)))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
     return map_batches(rows, rate, f"{kinds}, worst double, score double")
