@@ -34,10 +34,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends here and lost executors cost no recomputation."""
     path = new_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session to PART rows and 8 MB, so that the JVM's and Python's buffers stay small beside long texts."""
+    for key, most in (("maxRecordsPerBatch", PART), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = int(str(spark.conf.get(name)).rstrip("b"))
+        if held <= 0 or held > most:
+            spark.conf.set(name, str(most))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` over batches that Spark has bounded in rows and bytes, PART rows at a time."""
 
@@ -46,6 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
             for begin in range(0, batch.num_rows, PART):
                 yield fn(batch.slice(begin, PART))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

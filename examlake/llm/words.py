@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.common import texts_of
+from examlake.llm.common import small_batches, texts_of
 
 #: Distinct pieces that a task holds before it passes its counts on.
 HELD = 200_000
@@ -51,6 +51,7 @@ def count_pieces(docs: DataFrame, split: Callable[[bytes], list[bytes]], chosen:
             if held[side]:
                 yield out(side)
 
+    small_batches(docs.sparkSession)
     rows = docs.select("text", (F.coalesce(F.col(chosen), F.lit(False)) if chosen else F.lit(True)).alias("chosen"))
     return rows.mapInArrow(run, "piece binary, n long, t long").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
