@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examlake.llm.bpe import chunks, encode_pieces, width
-from examlake.llm.common import texts_of
+from examlake.llm.common import small_batches, texts_of
 
 CACHE = "version string, digest string, n_bytes long, n_tokens long"
 #: Chunks whose counts a Python worker remembers between batches and tasks, about 30 MB.
@@ -65,6 +65,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, key: str = "doc_id") ->
         found = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
         return found.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
 
+    small_batches(spark)
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +73,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, key: str = "doc_id") ->
             texts = list(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(map(len, texts), pa.int64()), pa.array(count_batch(texts, path), pa.int64())], ["digest", "n_bytes", "n_tokens"])
 
-    # Of equal texts the one with the smallest key carries the text on: keys and digests are shuffled first, without texts.
-    chosen = rows.groupBy("digest").agg(F.min(key).alias(key))
-    misses = chosen.join(stored().select("digest"), "digest", "left_anti")
-    texts = rows.alias("r").join(misses.alias("m"), F.expr(f"r.digest = m.digest and r.`{key}` <=> m.`{key}`"), "left_semi").dropDuplicates([key, "digest"])
+    # Equal texts meet once, by digest, after tasks have dropped their own copies; which of them have no count is settled on digests alone.
+    misses = rows.select("digest").distinct().join(stored().select("digest"), "digest", "left_anti")
+    texts = rows.groupBy("digest").agg(F.first("text").alias("text")).join(misses, "digest", "left_semi")
     new = texts.select("digest", "text").mapInArrow(encode, "digest string, n_bytes long, n_tokens long")
     new.select(F.lit(version).alias("version"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache)
     return rows.select(key, "digest").join(stored(), "digest").select(key, "n_bytes", "n_tokens")
