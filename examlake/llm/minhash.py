@@ -111,7 +111,8 @@ def _with_sets(docs: DataFrame, groups: DataFrame) -> DataFrame:
         sets = pa.array([shingles(t).tobytes() for t in texts_of(batch)], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("g"), sets], ["key", "g", "set"])
 
-    rows = map_batches(docs.join(groups, "key").select("key", "text", "g"), read, f"key {kind}, g array<{fields.simpleString()}>, set binary")
+    # Groups grow with the corpus: they meet the texts by the same sorted join at every size and are never broadcast.
+    rows = map_batches(docs.join(groups.hint("merge"), "key").select("key", "text", "g"), read, f"key {kind}, g array<{fields.simpleString()}>, set binary")
     return rows.select("key", "set", F.inline("g"))
 
 
