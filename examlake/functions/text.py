@@ -91,4 +91,4 @@ def trigrams(s: Column) -> Column:
 
 def table_cells(line: Column) -> Column:
     """The trimmed cells of a markdown table row."""
-    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|", -1), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|", -1), lambda x: F.trim(x))

@@ -75,7 +75,7 @@ FRACTION, DECIMAL = r"([0-9]{1,2})\s*/\s*([0-9]{1,2})", r"([0-9]*\.?[0-9]+)"
 
 def header_lines(text: Column, most: int = 120) -> Column:
     """The first lines of a document that are not blank, trimmed."""
-    return F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.trim), lambda x: x != ""), 1, most)
+    return F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
 
 
 def _first(values: Column) -> Column:
