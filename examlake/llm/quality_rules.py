@@ -43,7 +43,7 @@ RULES = (
     Rule("word_length", "mean_word", low=2, high=20),
     Rule("symbols", "symbol_ratio", high=0.05),
     Rule("stop_words", "stop_ratio", low=0.02),
-    Rule("repeated_lines", "dup_line_ratio", high=0.3),
+    Rule("repeated_lines", "dup_line_ratio", high=0.5),
 )
 
 

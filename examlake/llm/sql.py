@@ -30,7 +30,7 @@ with d as (
 ), b as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     (not base_failed and n_words <= 1000000 and word_chars / n_words between 2 and 20 and n_symbols / word_chars <= 0.05
-        and n_stop / n_words >= 0.02 and n_dup_lines / n_lines <= 0.3) as kept
+        and n_stop / n_words >= 0.02 and n_dup_lines / n_lines <= 0.5) as kept
 from b""",
     "op6_warc": """
 with p as (
