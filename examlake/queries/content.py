@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from examlake.functions import rules, text
+from examlake.operators import lines as line_operators
 from examlake.operators.duplicates import best_matches, grouped_by_key, similar_pairs
 from examlake.plans.model import OPTIONS, QUESTIONS, nested, table
 from examlake.registry import query
@@ -197,3 +198,16 @@ def grounding_of_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.contains(F.concat(F.lit(" "), F.array_join("src", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")))
     grounded = F.when(F.size("ws") == 0, True).when(F.size("src") == 0, False).when(F.size("ws") <= 2, known == F.size("ws")).otherwise(run)
     return s.select("conv_id", "turn", F.size("ws").cast("long").alias("n_tokens"), grounded.alias("grounded"), F.when(F.size("ws") == 0, 1.0).otherwise(F.round(known / F.size("ws"), 6)).alias("coverage"), "evidence")
+
+
+@query(r"""with r as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as raw_no from documents),
+j as (select *, coalesce(regexp_matches(lag(raw) over w, '\p{L}-\s*$') and regexp_matches(trim(raw), '^\p{Ll}'), false) as joins from r window w as (partition by doc_id order by raw_no)),
+k as (select *, coalesce(lead(joins) over w, false) as taken, sum((not joins)::int) over (partition by doc_id order by raw_no rows unbounded preceding) as grp from j window w as (partition by doc_id order by raw_no)),
+l as (select doc_id, grp, min(raw_no) as raw_no, string_agg(case when taken then regexp_replace(case when joins then trim(raw) else raw end, '-\s*$', '') when joins then trim(raw) else raw end, '' order by raw_no) as line from k group by all)
+select doc_id, count(*) as lines, count(*) filter (trim(line) = '') as blank, md5(string_agg(case when trim(line) = '' then '' else line end, chr(10) order by raw_no)) as lines_md5 from l
+where not regexp_matches(line, '(?i)^\s*(?:\[?page\]?\s*[:#-]?\s*(\d+)\s*(?:of\s*\d+)?|-{0,3}\s*page\s+(\d+)\s*-{0,3}|<!--\s*page\s*(?:break)?\s*-->|-{3,}|={3,}|\f)\s*$') group by doc_id""")
+def prepared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as prepared lines."""
+    rows = line_operators.prepared(table(spark, sf_dir, "documents"), "doc_id", "text")
+    text_ = F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "line")))["line"], "\n")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("line") == "").alias("blank"), F.md5(text_.cast("binary")).alias("lines_md5"))

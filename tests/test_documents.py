@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from examlake.functions import rules, text
-from examlake.operators import aliases, answer_keys, conventions, patterns, question_rules
+from examlake.operators import aliases, answer_keys, conventions, lines, parsing, patterns, question_rules
 
 QUIZ = "\n".join(f"{n}. Which of these is item {n}?\n(a) red {n}\n(b) green\n(c) blue\n(d) black" for n in range(1, 5))
 NUMBERED = "\n".join(f"Q{n}. Pick one\n1) a{n}\n2) b\n3) c\n4) d" for n in range(1, 4))
@@ -41,15 +41,15 @@ def test_answer_keys(spark):
 
 
 def test_verdicts(spark):
-    lines = [("Hence option (3) is correct", 2), ("Ans. b", 1), ("(c) is the correct one", 2), ("no verdict here", None), ("the answer is 9", None)]
-    rows = spark.createDataFrame([(t,) for t, _ in lines], "t string").select("t", answer_keys.verdict(F.col("t")).alias("v")).collect()
-    assert [r["v"] for r in rows] == [v for _, v in lines]
+    said = [("Hence option (3) is correct", 2), ("Ans. b", 1), ("(c) is the correct one", 2), ("no verdict here", None), ("the answer is 9", None)]
+    rows = spark.createDataFrame([(t,) for t, _ in said], "t string").select("t", answer_keys.verdict(F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in rows] == [v for _, v in said]
 
 
 def test_aliases(spark):
     subjects = spark.createDataFrame([("quant", "Quantitative Aptitude", 0), ("quant", "Mathematics", 0), ("reason", "General Intelligence and Reasoning", 1), ("gk", "General Awareness", 2), ("late", "Mathematics", 3)], "entry string, alias string, ordinal int")
-    lines = [(1, "PART B - General Awareness (25 Questions)"), (2, "**mathematics**"), (3, "Reasoning & General Intelligence"), (4, "the cat"), (5, None), (6, "Advanced Mathematics Test Paper Two")]
-    got = {r["id"]: (r["entry"], round(r["score"], 3)) for r in aliases.matched(spark.createDataFrame(lines, "id long, line string"), ["id"], "line", aliases.index(subjects, "entry", "alias", "ordinal")).collect()}
+    rows = [(1, "PART B - General Awareness (25 Questions)"), (2, "**mathematics**"), (3, "Reasoning & General Intelligence"), (4, "the cat"), (5, None), (6, "Advanced Mathematics Test Paper Two")]
+    got = {r["id"]: (r["entry"], round(r["score"], 3)) for r in aliases.matched(spark.createDataFrame(rows, "id long, line string"), ["id"], "line", aliases.index(subjects, "entry", "alias", "ordinal")).collect()}
     assert got[1] == ("gk", 1.0) and got[2] == ("quant", 1.0)
     assert got[3][0] == "reason" and got[6][0] == "quant"
     assert 4 not in got and 5 not in got
@@ -113,8 +113,8 @@ def test_marking_scheme(spark):
         ("nothing", None, None, None, None),
         (None, None, None, None, None),
     ]
-    lines = patterns.header_lines(F.col("t"))
-    got = spark.createDataFrame([(c[0],) for c in cases], "t string").select(patterns.duration(lines), patterns.total_marks(lines), patterns.marks_per_question(lines), patterns.negative_marks(lines)).collect()
+    header = patterns.header_lines(F.col("t"))
+    got = spark.createDataFrame([(c[0],) for c in cases], "t string").select(patterns.duration(header), patterns.total_marks(header), patterns.marks_per_question(header), patterns.negative_marks(header)).collect()
     assert [tuple(r) for r in got] == [c[1:] for c in cases]
 
 
@@ -126,3 +126,63 @@ def test_text(spark):
         text.shortened(F.lit("a  long   text"), 6), text.word_count(F.lit(" a b\tc ")),
     ).first()
     assert tuple(r) == ("tier-ii-paper-1-2023-pdf", "Mock Test Paper One", "reasoning logic", True, 4, 11, "a lon…", 3)
+
+
+def test_prepared_lines(spark):
+    doc = "one\ncompre-\nhen-\nsion ends\n\nPage 4\nfour\n---\nfive\n[page] 9 of 12\nnine\nwell-\nKnown\r\nlast-\n"
+    got = lines.prepared(spark.createDataFrame([(1, doc), (2, None)], "doc long, text string"), "doc", "text").orderBy("doc", "line_no").collect()
+    assert [(r["line_no"], r["page"], r["line"]) for r in got if r["doc"] == 1] == [
+        (0, 1, "one"), (1, 1, "comprehension ends"), (2, 1, ""), (3, 4, "four"), (4, 5, "five"), (5, 9, "nine"), (6, 9, "well-"), (7, 9, "Known"), (8, 9, "last-"), (9, 9, ""),
+    ]
+    assert [(r["raw_no"], r["line"]) for r in got if r["doc"] == 2] == [(0, "")]
+
+
+def test_contexts(spark):
+    questions = spark.createDataFrame([(1, n) for n in range(88, 120)], "doc long, number int")
+    ranges = [(1, 0, 90, 92, True, "printed"), (1, 1, 91, 95, True, "later"), (1, 2, 100, None, False, "open"), (1, 3, 118, None, True, "to the end")]
+    contexts = spark.createDataFrame(ranges, "doc long, ordinal int, first int, last int, explicit boolean, context string")
+    got = {r["number"]: (r["context"], r["capped"]) for r in lines.with_contexts(questions, contexts, "doc", "number").collect()}
+    assert [got[n][0] for n in (89, 90, 92, 93, 95, 96)] == [None, "printed", "printed", "later", "later", None]
+    assert got[100] == ("open", True) and got[111] == ("open", True) and got[112] == (None, False) and got[119] == ("to the end", False)
+
+
+def test_question_styles(spark):
+    docs = [(1, QUIZ), (2, NUMBERED), (3, ROWS_OF_TWO), (4, "prose"), (5, None), (7, "\n".join(f"{n}) item\n1) a\n2) b\n3) c\n4) d" for n in range(51, 54))), (8, "88. first\n(a) x\n(b) y\n89. next\n(a) x\n(b) y")]
+    df = spark.createDataFrame(docs, "doc long, text string")
+    got = {r["doc"]: (r["lead"], r["question_wrap"], r["first_number"]) for r in conventions.question_styles(df, conventions.option_styles(df, "doc", "text"), "doc", "text").collect()}
+    assert got[1] == ("", "dot", 1) and got[2] == ("Q", "dot", 1) and got[3] == ("", "dot", 1)
+    assert got[7] == ("", "trail", 51), "numbers within a question fill its options"
+    assert got[8] == ("", "dot", 88) and 4 not in got and 5 not in got
+
+
+def parse(spark, *docs):
+    out = {}
+    for r in parsing.questions(spark.createDataFrame(list(enumerate(docs)), "doc long, text string"), "doc", "text").orderBy("doc", "seq").collect():
+        out.setdefault(r["doc"], {})[r["number"]] = r
+    return out
+
+
+def test_parsed_questions(spark):
+    keyed = QUIZ + "\n\nAnswer Key\n1. (a) 2. (c) 3. (b) 4. (d)"
+    inline = "Q1. First of all? (a) one (b) two (c) three (d) four\nAns. (c)\nSol. Because three.\nQ2. Second\n(a) x (b) y\n(c) z (d) w\nAns. b"
+    shared = "Directions (1-2): Read this.\nThe passage text.\n1. One?\n(a) p\n(b) q\n2. Two?\n(a) p\n(b) q\n3. Three?\n(a) p\n(b) q"
+    furniture = "1. One of which?\n(a) aa\n(b) bb\n(c) cc\n(d) dd\n\nRunning header 2019\n2. Two of which?\n(a) aa\n(b) bb\n(c) cc\n(d) dd"
+    statements = "1. Which are right?\n(a) first (b) second (c) third (d) fourth\n(a) only a (b) only b (c) both (d) none\n2. Next one?\n(a) k (b) l (c) m (d) n"
+    got = parse(spark, keyed, NUMBERED, inline, shared, furniture, statements, "no questions here", None, "\n".join(f"{n}. item\n(a) x\n(b) y" for n in (88, 89, 90, 93)))
+    assert [(q["stem"], q["options"], q["answer"]) for q in got[0].values()] == [(f"Which of these is item {n}?", [f"red {n}", "green", "blue", "black"], a) for n, a in zip(range(1, 5), (0, 2, 1, 3), strict=True)]
+    assert [(q["stem"], q["options"]) for q in got[1].values()] == [("Pick one", [f"a{n}", "b", "c", "d"]) for n in range(1, 4)]
+    assert (got[2][1]["options"], got[2][1]["answer"], got[2][1]["explanation"]) == (["one", "two", "three", "four"], 2, "Because three.")
+    assert (got[2][2]["options"], got[2][2]["answer"]) == (["x", "y", "z", "w"], 1)
+    assert [got[3][n]["context"] for n in (1, 2, 3)] == ["Directions (1-2): Read this. The passage text."] * 2 + [None]
+    assert got[4][1]["trailing"] == "Running header 2019" and got[4][1]["options"][3] == "dd" and not got[4][2]["trailing"]
+    assert got[5][1]["options"] == ["only a", "only b", "both", "none"] and got[5][1]["issues"] == ["options_replaced"] and got[5][2]["issues"] == []
+    assert 6 not in got and 7 not in got and list(got[8]) == [88, 89, 90, 93]
+
+
+def test_open_contexts_and_sections(spark):
+    body = lambda a, b: "\n".join(f"{n}. item {n}?\n(a) x\n(b) y" for n in range(a, b + 1))
+    got = parse(spark, f"Directions: choose well.\n{body(1, 30)}", f"Part A - Verbal\n{body(1, 2)}\nIn the following questions pick one.\n{body(3, 4)}")
+    held = [n for n, q in got[0].items() if q["context"]]
+    assert held == list(range(1, 13)) and all("context_capped" in got[0][n]["issues"] for n in held)
+    assert got[1][1]["section"] == "Part A - Verbal"
+    assert got[1][3]["context"] == "In the following questions pick one." and got[1][2]["context"] is None
