@@ -26,9 +26,9 @@ _END = "\r\n\r\n"
 RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, date string, digest string, head string, fields string, payload binary"
 
 
-def _uuid(kind: str) -> Column:
+def _uuid(kind: str, key: str = "key") -> Column:
     """A name-based identifier of a capture's record: the same capture has the same one in every run."""
-    h = F.md5(F.concat(F.lit(f"{kind}:"), F.col("key").cast("string")).cast("binary"))
+    h = F.md5(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -69,14 +69,11 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Date", date)]
     digest = F.concat(F.lit("sha1:"), _base32(F.col("digest")))
     head = F.lit(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8{_END}")
-    first = _uuid("response").alias("x")
-    original = F.col("refers_to").isNotNull()
     request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _uuid("request")), ("WARC-Concurrent-To", answer), *common, ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(_END)))
     response = _record([("WARC-Type", "response"), ("WARC-Record-ID", answer), *common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")], F.concat(head, F.col("payload")))
-    revisit = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", answer), ("WARC-Refers-To", F.col("original")), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http; msgtype=response")], head)
+    revisit = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", answer), ("WARC-Refers-To", _uuid("response", "refers_to")), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http; msgtype=response")], head)
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata")), ("WARC-Concurrent-To", answer), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("capture: "), F.col("key").cast("string"), F.lit("\r\n")))
-    named = rows.withColumn("own", F.col("key")).withColumn("key", F.col("refers_to")).withColumn("original", first).withColumn("key", F.col("own"))
-    records = named.select(F.explode(F.array(request, F.when(original, revisit).otherwise(response), metadata)).alias("value"))
+    records = rows.select(F.explode(F.array(request, F.when(F.col("refers_to").isNotNull(), revisit).otherwise(response), metadata)).alias("value"))
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
