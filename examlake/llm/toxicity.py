@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -139,9 +140,17 @@ def variants(word: str) -> list[str]:
     return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i])]
 
 
-def machine(positive: list[str], negative: list[str]) -> Model:
-    """Nyström features over landmarks of both classes and a squared-hinge linear machine on them, folded into triple weights."""
-    grown = [x for w in positive for x in [w, *variants(w)]]
+def machine(positive: list[str], negative: list[str], seen: list[int] | None = None) -> Model:
+    """Nyström features over landmarks of both classes and a squared-hinge linear machine on them, folded into triple weights.
+
+    A positive word weighs as the square root of how often it was ``seen``, half
+    of it on the word itself and half on its variants together.
+    """
+    grown, share = [], []
+    for w, n in zip(positive, seen or [1] * len(positive), strict=True):
+        more = variants(w)
+        grown += [w, *more]
+        share += [n**0.5, *([n**0.5 / len(more)] * len(more))]
     near = kernel(negative, positive).max(1) if positive and negative else np.zeros(len(negative))
     hard = [negative[i] for i in np.argsort(-near, kind="stable")]
     marks = positive[: LANDMARKS // 2]
@@ -151,7 +160,7 @@ def machine(positive: list[str], negative: list[str]) -> Model:
     x = np.vstack([kernel(grown, marks), kernel(negative, marks)]).astype(np.float64) @ root
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.r_[np.ones(len(grown)), -np.ones(len(negative))]
-    weight = np.where(y > 0, 0.5 / max(len(grown), 1), 0.5 / max(len(negative), 1))
+    weight = np.r_[0.5 * np.array(share) / sum(share), np.full(len(negative), 0.5 / len(negative))]
     # Accelerated gradient descent on the mean squared hinge plus a ridge.
     ridge, beta, ahead = 1e-4, np.zeros(x.shape[1]), np.zeros(x.shape[1])
     step = 1 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + ridge)
@@ -205,12 +214,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     ratio = F.col("t") / F.col("n")
     beyond = F.col("n") * (ratio * F.log(ratio / share) + F.when(ratio < 1, (1 - ratio) * F.log((1 - ratio) / (1 - share))).otherwise(0.0)) > float(np.log(10 * distinct))
     toxic_words = counts.where((F.length("word") > 2) & (F.col("t") > 0) & (ratio >= 0.9)).where(beyond)
-    positive = [r["word"] for r in toxic_words.orderBy(F.desc("t"), "word").limit(400).select("word").collect()]
+    found = toxic_words.orderBy(F.desc("t"), "word").limit(1000).select("word", "t")
+    # Near copies of a toxic document repeat its rare words among the same neighbours; an insult meets new ones each time.
+    beside = sentences.where("toxic = 1").select("words", F.explode("words").alias("word")).join(F.broadcast(found), "word").select("word", "t", F.explode("words").alias("other"))
+    varied = beside.groupBy("word", "t").agg(F.count_distinct("other").alias("others")).where(F.col("others") >= 2.5 * F.col("t"))
+    rows = varied.orderBy(F.desc("t"), "word").limit(400).collect()
+    rows = [r for r in rows if 40 * r["t"] >= rows[0]["t"]]  # what a few near copies repeat is far rarer than the insults
+    positive, seen = [r["word"] for r in rows], [r["t"] for r in rows]
     clean = counts.where("t < 0.5 * n")
     negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).union(clean.orderBy(F.desc("n"), "word").limit(2000)).select("word").distinct().collect()]
     if not positive or not negative:
         return nothing
-    model = machine(positive, sorted(negative))
+    model = machine(positive, sorted(negative), seen)
     worst = score(sample, model, "key", keep=["toxic"]).select("toxic", "worst").toPandas()
     toxic = worst["toxic"].to_numpy(np.float64)
     weight = np.where(toxic > 0, sizes.get(1, 0) / max((toxic > 0).sum(), 1), sizes.get(0, 0) / max((toxic == 0).sum(), 1))
@@ -223,7 +238,7 @@ _KNOWN: dict[int, dict[str, float]] = {}
 def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """``key, worst, score`` and the columns ``keep`` for every row; null and empty texts have no words and the lowest margin."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    number = shared.id if hasattr(shared, "id") else id(shared)
+    number = zlib.crc32(model.weights.tobytes() + np.float64(model.bias).tobytes())
 
     def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
