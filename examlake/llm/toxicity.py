@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examlake.llm.common import map_batches, texts_of, written
+from examlake.llm.minhash import near_duplicates
 
 #: A subsequence reaches over at most REACH characters and loses DECAY for each character that it skips.
 REACH, DECAY = 8, 0.6
@@ -32,6 +33,10 @@ LONGEST = 24
 #: Labelled documents of each class that a fit reads at most, and words of clean documents.
 MAX_TOXIC, MAX_CLEAN, MAX_WORDS = 4000, 8000, 20000
 LANDMARKS = 160
+#: Clean words that a first machine takes for the most toxic; they carry half of the clean weight in the second.
+HARD = 400
+#: A positive word has PURE of its labelled texts toxic and LETTERS characters at least; texts that share COPY percent of their 5-word shingles, chained, count as one.
+PURE, LETTERS, COPY = 0.9, 3, 50
 #: Word scores that a Python worker remembers, about 25 MB.
 REMEMBERED = 200_000
 
@@ -140,18 +145,23 @@ def variants(word: str) -> list[str]:
     return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i])]
 
 
-def machine(positive: list[str], negative: list[str], seen: list[int] | None = None) -> Model:
+def machine(positive: list[str], negative: list[str], seen: list[int] | None = None, mistaken: dict[str, int] | None = None) -> Model:
     """Nyström features over landmarks of both classes and a squared-hinge linear machine on them, folded into triple weights.
 
     A positive word weighs as the square root of how often it was ``seen``, half
-    of it on the word itself and half on its variants together.
+    of it on the word itself and half on its variants together.  ``mistaken``
+    are clean words with how often they were seen; they weigh as much as ``negative``.
     """
+    mistaken = mistaken or {}
+    negative = [*mistaken, *(w for w in negative if w not in mistaken)]
     grown, share = [], []
     for w, n in zip(positive, seen or [1] * len(positive), strict=True):
         more = variants(w)
         grown += [w, *more]
         share += [n**0.5, *([n**0.5 / len(more)] * len(more))]
-    near = kernel(negative, positive).max(1) if positive and negative else np.zeros(len(negative))
+    near = np.zeros(len(negative), np.float32)
+    for begin in range(0, len(positive), 256):
+        near = np.maximum(near, kernel(negative, positive[begin : begin + 256]).max(1))
     hard = [negative[i] for i in np.argsort(-near, kind="stable")]
     marks = positive[: LANDMARKS // 2]
     marks += hard[: LANDMARKS - len(marks)]
@@ -160,7 +170,10 @@ def machine(positive: list[str], negative: list[str], seen: list[int] | None = N
     x = np.vstack([kernel(grown, marks), kernel(negative, marks)]).astype(np.float64) @ root
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.r_[np.ones(len(grown)), -np.ones(len(negative))]
-    weight = np.r_[0.5 * np.array(share) / sum(share), np.full(len(negative), 0.5 / len(negative))]
+    held = np.sqrt(np.array([*mistaken.values()], np.float64))
+    usual = len(negative) - len(held)
+    clean = np.r_[held / max(held.sum(), 1e-12) * (0.25 if usual else 0.5), np.full(usual, (0.25 if len(held) else 0.5) / max(usual, 1))]
+    weight = np.r_[0.5 * np.array(share) / sum(share), clean]
     # Accelerated gradient descent on the mean squared hinge plus a ridge.
     ridge, beta, ahead = 1e-4, np.zeros(x.shape[1]), np.zeros(x.shape[1])
     step = 1 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + ridge)
@@ -185,47 +198,76 @@ def calibrated(model: Model, worst: np.ndarray, toxic: np.ndarray, weight: np.nd
     return Model(model.weights, model.bias, *best[1:])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Fit on the sentences of at most ``max_toxic`` and ``max_clean`` labelled documents, chosen by hash of their key.
+def labelled_words(sample: DataFrame, copy: int = COPY) -> tuple[DataFrame, float]:
+    """``word, t, n`` of all words of ``sample`` (key, text, toxic), and the share of toxic texts.
 
-    A sentence has its document's label; one that also stands in a clean
-    document is clean, and repeated sentences count once.  The positive words
-    are those whose sentences are toxic far beyond chance, the negative ones a
-    bounded sample of the words of clean sentences.  Without both labels, or
-    without such words, the model scores every text near 0.
+    n counts the texts that hold the word and t the toxic ones; near copies with
+    one label count as one text.  A sentence that also stands in a clean text is clean.
     """
-    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").dropDuplicates(["key"])
-    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
-    sample = written(docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen[0].union(chosen[1])), "key").dropDuplicates(["key"]), "labelled")
+    groups = near_duplicates(sample, "key", copy).select("key", F.col("component_id").alias("group"))
+    grouped = sample.join(F.broadcast(groups), "key")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [[sorted({plain(w) for w in words_of(s)} - {""}) for s in _SENTENCE.split(t.decode("utf-8", "replace").lower())] for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.list_(pa.string())))], ["toxic", "sentences"])
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("group"), pa.array(found, pa.list_(pa.list_(pa.string())))], ["toxic", "group", "sentences"])
+
+    kind = grouped.schema["group"].dataType.simpleString()
+    sentences = map_batches(grouped, read, f"toxic int, group {kind}, sentences array<array<string>>").select("toxic", "group", F.explode("sentences").alias("words")).where("size(words) > 0")
+    held = lambda y: F.collect_set(F.when(F.col("toxic") == y, F.col("group")))
+    sentences = sentences.groupBy("words").agg(F.min("toxic").alias("toxic"), held(0).alias("clean"), held(1).alias("bad"))
+    sentences = sentences.select("toxic", "words", F.explode(F.when(F.col("toxic") == 0, F.col("clean")).otherwise(F.col("bad"))).alias("group"))
+    rows = written(sentences.select("toxic", "group", F.explode("words").alias("word")).distinct(), "labelled-words")
+    counts = written(rows.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")), "words")
+    return counts, rows.select("toxic", "group").distinct().agg(F.avg("toxic")).first()[0] or 0.0
+
 
-    sentences = map_batches(sample, read, "toxic int, sentences array<array<string>>").select("toxic", F.explode("sentences").alias("words")).where("size(words) > 0")
-    sentences = written(sentences.groupBy("words").agg(F.min("toxic").alias("toxic")), "sentences")
-    counts = written(sentences.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")), "words")
+def positive_words(counts: DataFrame, share: float, pure: float = PURE, letters: int = LETTERS) -> list[tuple[str, int]]:
+    """(word, t) of every word that passes the chance test, the most frequent first."""
+    # Words that chance would give such a share of toxic texts less than once in ten corpora (Chernoff's bound, for all words).
+    ratio = F.col("t") / F.col("n")
+    beyond = F.col("n") * (ratio * F.log(ratio / share) + F.when(ratio < 1, (1 - ratio) * F.log((1 - ratio) / (1 - share))).otherwise(0.0)) > float(np.log(10 * counts.count()))
+    rows = counts.where((F.length("word") >= letters) & (F.col("t") > 0) & (ratio >= pure)).where(beyond).orderBy(F.desc("t"), "word")
+    return [(r["word"], r["t"]) for r in rows.collect()]
+
+
+def mistaken_words(clean: DataFrame, model: Model, most: int = HARD) -> dict[str, int]:
+    """The ``most`` words of ``clean`` (word, n) of largest margin, with n; all words are rated."""
+    shared = clean.sparkSession.sparkContext.broadcast(model)
+
+    def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
+        margins = shared.value.margins(batch.column("word").to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(margins.astype(np.float64))], ["word", "n", "margin"])
+
+    rows = map_batches(clean, rate, "word string, n long, margin double").orderBy(F.desc("margin"), "word").limit(most)
+    return {r["word"]: r["n"] for r in rows.collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, copy: int = COPY, pure: float = PURE, letters: int = LETTERS) -> Model:
+    """Fit on the words of at most ``max_toxic`` and ``max_clean`` labelled documents, chosen by hash of their key.
+
+    The positive words are all that have ``letters`` characters and ``pure`` of
+    their texts toxic, far beyond chance; texts of one label that share ``copy``
+    percent of their shingles, chained, count once, so what copies repeat is no
+    evidence.  The negative ones are a sample of the words with under half of
+    their texts toxic: MAX_WORDS by hash and the 2000 most frequent.  Without
+    both labels, or without such words, the model scores every text near 0.
+    """
+    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").dropDuplicates(["key"])
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
+    sample = written(docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen[0].union(chosen[1])), "key").dropDuplicates(["key"]), "labelled")
     nothing = Model(np.zeros(CODES**3, np.float32), -1.0, 4.0, 2.0)
-    share, distinct = sentences.agg(F.avg("toxic")).first()[0] or 0.0, counts.count()
+    counts, share = labelled_words(sample, copy)
     if not 0 < share < 1:
         return nothing
-    # Words that chance would give such a share of toxic sentences less than once in ten corpora (Chernoff's bound, for all words).
-    ratio = F.col("t") / F.col("n")
-    beyond = F.col("n") * (ratio * F.log(ratio / share) + F.when(ratio < 1, (1 - ratio) * F.log((1 - ratio) / (1 - share))).otherwise(0.0)) > float(np.log(10 * distinct))
-    toxic_words = counts.where((F.length("word") > 2) & (F.col("t") > 0) & (ratio >= 0.9)).where(beyond)
-    found = toxic_words.orderBy(F.desc("t"), "word").limit(1000).select("word", "t")
-    # Near copies of a toxic document repeat its rare words among the same neighbours; an insult meets new ones each time.
-    beside = sentences.where("toxic = 1").select("words", F.explode("words").alias("word")).join(F.broadcast(found), "word").select("word", "t", F.explode("words").alias("other"))
-    varied = beside.groupBy("word", "t").agg(F.count_distinct("other").alias("others")).where(F.col("others") >= 2.5 * F.col("t"))
-    rows = varied.orderBy(F.desc("t"), "word").limit(400).collect()
-    rows = [r for r in rows if 40 * r["t"] >= rows[0]["t"]]  # what a few near copies repeat is far rarer than the insults
-    positive, seen = [r["word"] for r in rows], [r["t"] for r in rows]
+    found = positive_words(counts, share, pure, letters)
+    positive, seen = [w for w, _ in found], [n for _, n in found]
     clean = counts.where("t < 0.5 * n")
     negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).union(clean.orderBy(F.desc("n"), "word").limit(2000)).select("word").distinct().collect()]
     if not positive or not negative:
         return nothing
     model = machine(positive, sorted(negative), seen)
+    model = machine(positive, sorted(negative), seen, mistaken_words(clean.select("word", (F.col("n") - F.col("t")).alias("n")), model))
     worst = score(sample, model, "key", keep=["toxic"]).select("toxic", "worst").toPandas()
     toxic = worst["toxic"].to_numpy(np.float64)
     weight = np.where(toxic > 0, sizes.get(1, 0) / max((toxic > 0).sum(), 1), sizes.get(0, 0) / max((toxic == 0).sum(), 1))

@@ -148,3 +148,23 @@ def test_toxicity_edges(spark):
         model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert [r["score"] < 0.5 for r in toxicity.score(docs, model).collect()] == [True] * 6
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_rare_insults_count_and_near_copies_do_not(spark):
+    r = np.random.default_rng(5)
+    vocabulary = ["".join(r.choice(list("bdfgklmnprstvaeiou"), 7)) for _ in range(3000)]
+    some = lambda n: " ".join(r.choice(vocabulary, n))
+    said = lambda x: f"{some(6)} {x} {some(6)}"
+    texts = [("\n".join([said("idiot"), said("idiot")]), 1) for _ in range(300)]
+    texts += [(said("zworwkxy"), 1) for _ in range(14)]
+    page = [*r.choice(vocabulary, 300), "qhuqhjwz", *r.choice(vocabulary, 300)]
+    for _ in range(60):
+        edited = [w if w == "qhuqhjwz" or r.random() > 0.03 else str(r.choice(vocabulary)) for w in page]
+        texts.append(("\n".join(" ".join(edited[i : i + 12]) for i in range(0, len(edited), 12)), 1))
+    texts += [(some(40), 0) for _ in range(700)]
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    asked = [(i, said(x)) for i, x in enumerate(("idiot", "zworwkxy", "qhuqhjwz", "and"))]
+    got = [x["score"] >= queries.TOXIC for x in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got == [True, True, False, False]
