@@ -38,8 +38,34 @@ def similar_pairs(rows: DataFrame, key: str, subject: str, stem: str, percent: i
     return sized.where(f"100 * shared >= {percent} * total")
 
 
-def best_matches(pairs: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
-    """For each side of each pair its ``most`` most similar partners: the report that a reviewer sees."""
+def representatives(rows: DataFrame, key: str, subject: str, stem: str) -> DataFrame:
+    """``key, representative`` for every row: the smallest key with its subject and stem; a null equals a null."""
+    first = rows.groupBy(subject, stem).agg(F.min(key).alias("representative")).alias("f")
+    r = rows.alias("r")
+    same = F.col(f"r.{subject}").eqNullSafe(F.col(f"f.{subject}")) & F.col(f"r.{stem}").eqNullSafe(F.col(f"f.{stem}"))
+    return r.join(first, same).select(F.col(f"r.{key}").alias(key), "representative")
+
+
+def best_matches(pairs: DataFrame, members: DataFrame, key: str, most: int = MOST_MATCHES) -> DataFrame:
+    """``a, b, exact, shared, total, rank``: for each row its ``most`` first copies, then its ``most`` most similar other rows.
+
+    ``pairs`` are between representatives and ``members`` (key, representative)
+    holds every row.  Copies are exact, share all and rank first; an exact match
+    is never also a near one, since near pairs lie between classes.  Of each
+    class only its ``most`` + 1 smallest keys can be named, and of each
+    representative's partners only ``most`` classes, so rows stay in proportion
+    to ``members``.
+    """
+    own = members.select(F.col(key).alias("a"), "representative")
+    placed = F.row_number().over(Window.partitionBy("representative").orderBy("b"))
+    firsts = members.select(F.col(key).alias("b"), "representative").withColumn("place", placed).where(F.col("place") <= most + 1)
+    best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.col("shared") / F.col("total")), "b"))
+    one = F.lit(1).cast("long")
+    exact = own.join(firsts, "representative").where("a <> b").withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("n") <= most)
+    exact = exact.select("a", "b", F.lit(True).alias("exact"), one.alias("shared"), one.alias("total"))
     both = pairs.select("a", "b", "shared", "total").union(pairs.select("b", "a", "shared", "total"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.col("shared") / F.col("total")), "b"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= most)
+    classes = both.withColumn("n", best("a")).where(F.col("n") <= most).select(F.col("a").alias("from"), F.col("b").alias("representative"), "shared", "total")
+    near = classes.join(firsts, "representative").select("from", "b", "shared", "total").withColumn("n", best("from")).where(F.col("n") <= most)
+    near = own.join(near.withColumnRenamed("from", "representative"), "representative").select("a", "b", F.lit(False).alias("exact"), "shared", "total")
+    order = Window.partitionBy("a").orderBy(F.desc("exact"), F.desc(F.col("shared") / F.col("total")), "b")
+    return exact.union(near).withColumn("rank", F.row_number().over(order))

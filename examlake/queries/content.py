@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import rules, text
 from examlake.operators import lines as line_operators
-from examlake.operators.duplicates import best_matches, grouped_by_key, similar_pairs
+from examlake.operators.duplicates import best_matches, grouped_by_key, representatives, similar_pairs
 from examlake.plans.model import OPTIONS, QUESTIONS, nested, table
 from examlake.registry import query
 
@@ -127,14 +127,24 @@ g as (select id, lang, list_distinct(flatten(list_transform(ws, lambda w: list_t
 p as (select a.id as a, b.id as b, cast(len(list_intersect(a.g, b.g)) as bigint) as shared, len(a.g) + len(b.g) as sizes from g a join g b on a.lang = b.lang and a.id < b.id)
 select a, b, shared, cast(sizes - shared as bigint) as total from p where 100 * shared >= 40 * (sizes - shared)""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page titles of one language with similar trigram sets, at a threshold that titles of this corpus reach."""
+    """Page titles of one language with similar trigram sets, at a threshold that titles of this corpus reach; near_duplicate_members has the pages behind each id."""
     return similar_pairs(_titles(spark, sf_dir), "page_id", "lang", "title", percent=40)
 
 
+@query(r"""with t as (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(html, '<html lang="([a-z]*)"', 1) as lang from pages)
+select page_id, min(page_id) over (partition by title, lang) as representative from t""")
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every page the smallest page of its title and language, which stands for it in near_duplicates."""
+    return representatives(_titles(spark, sf_dir), "page_id", "lang", "title")
+
+
 @query()
 def near_duplicate_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each title its five nearest, from the same join; tests hold it against all pairs."""
-    return best_matches(near_duplicates(spark, sf_dir))
+    """For each page five copies, then its five nearest pages; tests hold it against all pairs."""
+    titles = _titles(spark, sf_dir)
+    # Pages without a title have nothing to compare, as questions without a hash.
+    members = representatives(titles.where("title <> ''"), "page_id", "lang", "title")
+    return best_matches(near_duplicates(spark, sf_dir), members, "page_id")
 
 
 @query(f"""with {QUESTIONS} select subject_id, difficulty, min(question_id) as first, max(question_id) as last, count(*) as n,
