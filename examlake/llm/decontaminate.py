@@ -88,8 +88,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_k
 
     Both frames need their key and ``text``; other columns are ignored.  Null
     and empty texts have no words and hit nothing; items without a key or words
-    are in no document.  Keys are meant to be unique: above ``broadcast_rows``
-    windows, rows that repeat a key share what any of them hits.
+    are in no document.  Keys may repeat or be null: each row follows its own text.
     """
     docs = docs.select(F.col(key).alias("key"), "text")
     windows, prints = window_table(items, item_key)
@@ -179,13 +178,15 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, prints: DataFrame) -> DataF
             sizes.append(len(words))
             found.append([{"length": n, "start": int(s), "window": int(h)} for n, starts, hashes in candidates(words, known, lengths) for s, h in zip(starts, hashes.view(np.int64), strict=True)])
         kind = pa.list_(pa.struct([("length", pa.int32()), ("start", pa.int64()), ("window", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(found, kind)], ["key", "n_words", "found"])
-
-    searched = written(map_batches(docs, search, f"key {docs.schema['key'].dataType.simpleString()}, n_words long, found array<struct<length int, start long, window long>>"), "searched")
-    rows = searched.select("key", F.inline("found"))
-    spans = rows.join(windows.select("window", "length").distinct(), ["window", "length"], "left_semi").select("key", F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("span"))
-    spans = spans.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(found, kind)], ["key", "row", "n_words", "found"])
+
+    # Numbers of rows are written with what was found, so both sides of each later join have the same.
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    searched = written(map_batches(numbered, search, f"key {docs.schema['key'].dataType.simpleString()}, row long, n_words long, found array<struct<length int, start long, window long>>"), "searched")
+    rows = searched.select("row", F.inline("found"))
+    spans = rows.join(windows.select("window", "length").distinct(), ["window", "length"], "left_semi").select("row", F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("span"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["to"]))).alias("n"), F.greatest(a["to"], s["stop"]).alias("to")), lambda a: a["n"])
-    items = rows.join(windows, ["window", "length"]).select("key", F.col("item").cast("string").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hit = spans.select("key", covered.alias("n_hit")).join(items, "key")
-    return searched.select("key", "n_words").join(hit, "key", "left").select("key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    items = rows.join(windows, ["window", "length"]).select("row", F.col("item").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hit = spans.select("row", covered.alias("n_hit")).join(items, "row")
+    return searched.select("key", "row", "n_words").join(hit, "row", "left").select("key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -66,3 +66,11 @@ def test_every_shared_span_leaves_a_fingerprint():
 def test_query_digest(spark, sf):
     r = queries.op8_decontaminate(spark, sf).where("not contaminated").first()
     assert r["items_sha256"] == hashlib.sha256(b"").hexdigest() and r["n_items"] == 0
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_null_and_repeated_keys(spark, most):
+    item = "a b c d e f g h i j"
+    docs = [(None, f"x {item}"), (None, "x y"), (7, f"{item} z z"), (7, "clean words"), (7, f"{item} y")]
+    got = decontaminate.contamination(spark.createDataFrame([(k, t, "", "") for k, t in docs], DOCS), spark.createDataFrame([(1, item, "")], ITEMS), broadcast_rows=most)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in got.collect()) == [("7", 2, 0, []), ("7", 11, 10, ["1"]), ("7", 12, 10, ["1"]), ("None", 2, 0, []), ("None", 11, 10, ["1"])]
