@@ -1,11 +1,15 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
+"""Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine trained on labelled sentences.
 
-Two words are alike as far as they share gapped subsequences of three
+Two words or phrases are alike as far as they share gapped subsequences of three
 characters, each counted less the more it is stretched, so an insult keeps its
-likeness with a letter put in, doubled or set apart.  A sentence is as toxic as
-its worst word, a document as its worst sentence.  Because the kernel has a
-finite feature map, the fitted machine folds into one weight for each character
-triple and a word costs one sum whatever the number of landmarks.
+likeness with a letter put in, doubled or set apart.  Labels say that a document
+holds a toxic sentence, not which: documents are bags of sentences and sentences
+bags of words and of two-word phrases, as toxic as their worst.  The machine is
+a multiple-instance one: it takes the worst word or phrase of each toxic
+document for its witness, holds the witnesses against every word of every clean
+sentence, and chooses witnesses and landmarks anew until they settle.  Because
+the kernel has a finite feature map, the fitted machine folds into one weight for
+each character triple and a word costs one sum whatever the number of landmarks.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +32,24 @@ from examlake.llm.minhash import near_duplicates
 #: A subsequence reaches over at most REACH characters and loses DECAY for each character that it skips.
 REACH, DECAY = 8, 0.6
 CODES = 64
-#: Words beyond this length are read in overlapping parts of it.
+#: Words beyond this length are read in overlapping parts of it and are in no phrase.
 LONGEST = 24
-#: Labelled documents of each class that a fit reads at most, and words of clean documents.
-MAX_TOXIC, MAX_CLEAN, MAX_WORDS = 4000, 8000, 20000
-LANDMARKS = 160
-#: Clean words that a first machine takes for the most toxic; they carry half of the clean weight in the second.
-HARD = 400
-#: A positive word has PURE of its labelled texts toxic and LETTERS characters at least; texts that share COPY percent of their 5-word shingles, chained, count as one.
-PURE, LETTERS, COPY = 0.9, 3, 50
+#: Labelled documents of each class that a fit reads at most.
+MAX_TOXIC, MAX_CLEAN = 4000, 8000
+#: Texts of one label that share COPY percent of their 5-word shingles, chained, count as one.
+COPY = 50
+#: Landmarks of the Nyström map, half of them witnesses and half clean words; rounds of choosing both.
+LANDMARKS, ROUNDS = 200, 5
+#: About how many toxic texts the ridge outweighs: more of them move the machine.
+EVIDENCE = 0.3
+#: Toxic texts that a unit must be in to be a witness: what one text alone says is no evidence.
+LEAST_TEXTS = 2
+#: A toxic text's witnesses are all its units that come within this share of its worst.
+TIED = 0.5
+#: Toxic texts that must share a two-word phrase before it is a unit of its own.
+PHRASE_TEXTS = 5
+#: One labelled text in HELD calibrates and never trains; with fewer than LEAST_HELD toxic ones the machine's own boundary stays.
+HELD, LEAST_HELD = 5, 20
 #: Word scores that a Python worker remembers, about 25 MB.
 REMEMBERED = 200_000
 
@@ -56,6 +69,17 @@ def words_of(sentence: str) -> set[str]:
     return found
 
 
+def units_of(text: str) -> set[str]:
+    """The plain words of all sentences of a text, and the phrases of two neighbouring words."""
+    found = set()
+    for sentence in _SENTENCE.split(text.lower()):
+        found.update(plain(w) for w in words_of(sentence))
+        row = [plain(w) for w in sentence.split()]
+        found.update(f"{a} {b}" for a, b in zip(row, row[1:]) if 0 < len(a) <= LONGEST and 0 < len(b) <= LONGEST)  # noqa: B905
+    found.discard("")
+    return found
+
+
 def plain(word: str) -> str:
     """A word without anything but letters and digits; characters that stand for letters become them."""
     return _ODD.sub("", word if word.isalpha() else word.rstrip("!?.,;:").translate(_ALIKE))
@@ -66,7 +90,7 @@ def codes_of(word: str) -> list[int]:
     return [0, *(ord(c) - 95 if "a" <= c <= "z" else 28 + ord(c) % 36 for c in word), 1]
 
 
-@functools.lru_cache(maxsize=LONGEST + 3)
+@functools.lru_cache(maxsize=2 * LONGEST + 4)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of all triples in n codes that reach over at most REACH of them, and their weights, normed to length 1."""
     at = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + REACH))]
@@ -76,116 +100,232 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def parts_of(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    """A word of at most LONGEST characters, or a phrase, whole; a longer word in parts."""
+    return [word] if len(word) <= LONGEST or " " in word else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(which words, their triples, the triples' weights), words of one length at a time; words of over LONGEST characters come in parts."""
+def coded(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(which words, their codes), words of one length at a time; words of over LONGEST characters come in parts."""
     by = defaultdict(lambda: ([], []))
     for at, word in enumerate(words):
         for part in parts_of(word):
             of = by[len(part)]
             of[0].append(at)
-            of[1].append(codes_of(part))
-    for n, (at, codes) in by.items():
-        i, j, k, weight = _triples(n + 2)
+            of[1].append(bytes(codes_of(part)))
+    return [(np.array(at), np.frombuffer(b"".join(codes), np.uint8).reshape(len(at), -1)) for at, codes in by.values()]
+
+
+def expanded(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which words, their triples, the triples' weights) of coded words, at most 4096 words at a time."""
+    for at, codes in rows:
+        i, j, k, weight = _triples(codes.shape[1])
         for begin in range(0, len(at), 4096):
-            c = np.array(codes[begin : begin + 4096], np.int64)
-            yield np.array(at[begin : begin + 4096]), (c[:, i] * CODES + c[:, j]) * CODES + c[:, k], weight
+            c = codes[begin : begin + 4096].astype(np.int32)
+            yield at[begin : begin + 4096], (c[:, i] * CODES + c[:, j]) * CODES + c[:, k], weight
+
+
+def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return expanded(coded(words))
 
 
 @dataclass
 class Model:
-    """``weights`` of the character triples; a word's margin is their sum plus ``bias``; slope and middle turn a document's worst margin into a score."""
+    """``weights`` of the character triples; a word's margin is their sum plus ``bias``; slope and middle turn a document's worst margin into a score.
+
+    ``phrases`` are the two-word phrases that are read beside single words;
+    ``landmarks`` and their ``alphas`` are what ``weights`` was folded from.
+    """
 
     weights: np.ndarray
     bias: float
     slope: float = 4.0
-    middle: float = 0.0
+    middle: float = 0.25
+    phrases: frozenset[str] = frozenset()
+    landmarks: list[str] = field(default_factory=list)
+    alphas: list[float] = field(default_factory=list)
 
     def margins(self, words: list[str]) -> np.ndarray:
+        """The largest margin of any part of each word; -1 without parts."""
         out = np.full(len(words), -1.0, np.float32)
         for at, triples, weight in features(words):
             np.maximum.at(out, at, self.weights[triples] @ weight + np.float32(self.bias))
         return out
 
+    def read(self, sentence: str) -> set[str]:
+        """What a sentence is scored by: its words, and the known phrases in it, marked by their space."""
+        found = words_of(sentence)
+        if self.phrases:
+            row = [plain(w) for w in sentence.split()]
+            found.update(self.phrases.intersection(f"{a} {b}" for a, b in zip(row, row[1:])))  # noqa: B905
+        return found
+
     def worst(self, texts: list[str], known: dict[str, float]) -> list[float]:
-        """The largest margin of any word of each text; -1 without words.  ``known`` keeps words' margins."""
-        found = [[words_of(s) for s in _SENTENCE.split(t.lower()) if s] for t in texts]
+        """The largest margin of any word or phrase of each text; -1 without words.  ``known`` keeps margins."""
+        found = [[self.read(s) for s in _SENTENCE.split(t.lower()) if s] for t in texts]
         new = [x for x in set().union(*(w for s in found for w in s)) if x not in known]
         if len(known) > REMEMBERED:
             known.clear()
             new = list(set().union(*(w for s in found for w in s)))
-        known.update(zip(new, self.margins([plain(x) for x in new]).tolist(), strict=True))
+        known.update(zip(new, self.margins([x if x in self.phrases else plain(x) for x in new]).tolist(), strict=True))
         return [max((max(map(known.__getitem__, w)) for w in s if w), default=-1.0) for s in found]
 
     def scores(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (worst - self.middle), -30, 30)))
 
 
+NOTHING = Model(np.zeros(CODES**3, np.float32), -1.0, 4.0, 2.0)
+
+
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """The string kernel of each word of ``a`` with each of ``b``; words of over LONGEST characters count by their first part."""
-    place = np.full(CODES**3, -1, np.int64)
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = list(features([x[:LONGEST] for x in b]))
+    """The string kernel of each of ``a`` with each of ``b``; none may have parts."""
+    place = np.full(CODES**3, -1, np.int32)
+    rows = list(features(b))
     used = np.unique(np.concatenate([t.ravel() for _, t, _ in rows])) if rows else np.empty(0, np.int64)
     place[used] = np.arange(len(used))
     table = np.zeros((len(used) + 1, len(b)), np.float32)
     for at, triples, weight in rows:
         np.add.at(table, (place[triples], at[:, None]), np.broadcast_to(weight, triples.shape))
     out = np.zeros((len(a), len(b)), np.float32)
-    for at, triples, weight in features([x[:LONGEST] for x in a]):
-        for begin in range(0, len(at), 256):
-            rows_ = slice(begin, begin + 256)
+    for at, triples, weight in features(a):
+        for begin in range(0, len(at), 128):
+            rows_ = slice(begin, begin + 128)
             out[at[rows_]] = np.einsum("tpl,p->tl", table[place[triples[rows_]]], weight)
     return out
 
 
-def variants(word: str) -> list[str]:
-    """The word with a letter put in or doubled at each place within it."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i])]
+def variants(unit: str) -> list[str]:
+    """The word or phrase with a letter put in or doubled at each place within it."""
+    return [unit[:i] + c + unit[i:] for i in range(1, len(unit)) for c in ("x", unit[i])]
+
+
+def folded(landmarks: list[str], alphas: np.ndarray) -> np.ndarray:
+    """The weight of each character triple in the sum of the landmarks' feature maps times ``alphas``."""
+    out = np.zeros(CODES**3)
+    for at, triples, w in features(landmarks):
+        np.add.at(out, triples, alphas[at][:, None] * w)
+    return out.astype(np.float32)
+
+
+def spread(units: list[str], weight: np.ndarray, most: int) -> list[str]:
+    """At most ``most`` landmarks by pivoted Cholesky: each time the unit whose weighted rest, outside what the chosen ones span, is largest."""
+    if len(units) <= most:
+        return list(units)
+    maps = list(features(units))
+    rest, columns, chosen = np.ones(len(units)), np.zeros((len(units), most)), []
+    for n in range(most):
+        at = int(np.argmax(weight * rest))
+        if rest[at] < 1e-6:
+            break
+        one, column = folded([units[at]], np.ones(1)), np.empty(len(units))
+        for of, triples, w in maps:
+            column[of] = one[triples] @ w
+        column -= columns[:, :n] @ columns[at, :n]
+        columns[:, n] = column / np.sqrt(rest[at])
+        rest = np.maximum(rest - columns[:, n] ** 2, 0)
+        rest[at] = 0
+        chosen.append(units[at])
+    return chosen
+
+
+def minimised(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """The least weighted squared hinge plus half the ridge's square norm, by Newton steps on the rows inside the margin."""
+    beta = np.zeros(x.shape[1])
+    beta[-1] = -1.0
+
+    def loss(b: np.ndarray) -> tuple[float, np.ndarray]:
+        short = np.maximum(0, 1 - y * (x @ b.astype(np.float32)))
+        return float((weight * short**2).sum() + 0.5 * (ridge * b**2).sum()), short
+
+    now, short = loss(beta)
+    for _ in range(50):
+        inside = np.flatnonzero(short)
+        rows = x[inside] * np.sqrt(weight[inside])[:, None].astype(np.float32)
+        slope = ridge * beta - 2 * ((weight[inside] * y[inside] * short[inside]) @ x[inside])
+        step = np.linalg.solve(2 * (rows.T @ rows).astype(np.float64) + np.diag(ridge), slope)
+        size = 1.0
+        while (new := loss(beta - size * step))[0] > now and size > 1e-4:
+            size /= 2
+        if now - new[0] < 1e-7 * now:
+            break
+        beta, (now, short) = beta - size * step, new
+    return beta
+
+
+def machine(positive: list[str], seen: np.ndarray, negative: list[str], clean: np.ndarray, texts: tuple[int, int], hard: np.ndarray) -> Model:
+    """Nyström features over landmarks of both classes and a squared-hinge machine on them, folded into triple weights.
+
+    ``seen`` and ``clean`` count the toxic and the clean texts behind each unit,
+    of ``texts`` in all; half of a landmark witness's weight lies on itself and
+    half on its variants.  ``hard`` ranks the clean units for landmarks.
+    """
+    marks = spread(positive, seen.astype(float), LANDMARKS // 2)
+    held = set(marks)
+    order = np.argsort(-hard, kind="stable")[: 8 * LANDMARKS]
+    marks += [m for m in spread([negative[i] for i in order], np.maximum(hard[order] - hard[order].min(), 1e-3), LANDMARKS - len(marks)) if m not in held]
+    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+    root = (vectors / np.sqrt(np.maximum(values, 1e-6)) * (values > 1e-6)).astype(np.float32)
+    grown, share = [], []
+    for unit, n in zip(positive, seen / (2 * texts[0]), strict=True):
+        more = variants(unit) if unit in held else []
+        grown += [unit, *more]
+        share += [n / 2, *([n / 2 / len(more)] * len(more))] if more else [n]
+    x = np.vstack([np.hstack([kernel(part, marks) @ root, np.ones((len(part), 1), np.float32)]) for part in (grown, negative)])
+    y = np.r_[np.ones(len(grown)), -np.ones(len(negative))]
+    beta = minimised(x, y, np.r_[share, clean / (2 * texts[1])], np.r_[np.full(len(marks), EVIDENCE / texts[0]), 1e-6])
+    alphas = root @ beta[:-1]
+    return Model(folded(marks, alphas), float(beta[-1]), landmarks=marks, alphas=alphas.tolist())
 
 
-def machine(positive: list[str], negative: list[str], seen: list[int] | None = None, mistaken: dict[str, int] | None = None) -> Model:
-    """Nyström features over landmarks of both classes and a squared-hinge linear machine on them, folded into triple weights.
+def learned(units: list[str], clean: np.ndarray, bags: list[list[int]], texts: tuple[int, int]) -> Model:
+    """The multiple-instance machine: ``bags`` names the toxic texts that hold each unit and ``clean`` counts its clean ones, of ``texts`` in all.
 
-    A positive word weighs as the square root of how often it was ``seen``, half
-    of it on the word itself and half on its variants together.  ``mistaken``
-    are clean words with how often they were seen; they weigh as much as ``negative``.
+    The first witnesses are those of the largest mean discrepancy between both
+    kinds of texts, of whole units and of their triples, each in units of its own
+    error; it also decides among what a machine cannot tell apart.  Clean units join the training as
+    soon as a machine puts them inside its margin.
     """
-    mistaken = mistaken or {}
-    negative = [*mistaken, *(w for w in negative if w not in mistaken)]
-    grown, share = [], []
-    for w, n in zip(positive, seen or [1] * len(positive), strict=True):
-        more = variants(w)
-        grown += [w, *more]
-        share += [n**0.5, *([n**0.5 / len(more)] * len(more))]
-    near = np.zeros(len(negative), np.float32)
-    for begin in range(0, len(positive), 256):
-        near = np.maximum(near, kernel(negative, positive[begin : begin + 256]).max(1))
-    hard = [negative[i] for i in np.argsort(-near, kind="stable")]
-    marks = positive[: LANDMARKS // 2]
-    marks += hard[: LANDMARKS - len(marks)]
-    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6)) * (values > 1e-6)
-    x = np.vstack([kernel(grown, marks), kernel(negative, marks)]).astype(np.float64) @ root
-    x = np.hstack([x, np.ones((len(x), 1))])
-    y = np.r_[np.ones(len(grown)), -np.ones(len(negative))]
-    held = np.sqrt(np.array([*mistaken.values()], np.float64))
-    usual = len(negative) - len(held)
-    clean = np.r_[held / max(held.sum(), 1e-12) * (0.25 if usual else 0.5), np.full(usual, (0.25 if len(held) else 0.5) / max(usual, 1))]
-    weight = np.r_[0.5 * np.array(share) / sum(share), clean]
-    # Accelerated gradient descent on the mean squared hinge plus a ridge.
-    ridge, beta, ahead = 1e-4, np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    step = 1 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + ridge)
-    for t in range(400):
-        short = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - step * (ridge * ahead - 2 * x.T @ (weight * y * short))
-        ahead, beta = new + t / (t + 3) * (new - beta), new
-    alpha = root @ beta[:-1]
-    folded = np.zeros(CODES**3, np.float64)
-    for at, triples, w in features([m[:LONGEST] for m in marks]):
-        np.add.at(folded, triples, alpha[at][:, None] * w)
-    return Model(folded.astype(np.float32), float(beta[-1]))
+    rows = coded(units)
+
+    def margins(weights: np.ndarray, bias: float) -> np.ndarray:
+        out = np.empty(len(units))
+        for at, triples, w in expanded(rows):
+            out[at] = weights[triples] @ w + bias
+        return out
+
+    def apart(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        return (toxic / texts[0] - clean / texts[1]) / np.sqrt(np.maximum(toxic + clean, 1) / sum(texts) * (1 / texts[0] + 1 / texts[1]))
+
+    toxic = np.array([len(b) for b in bags])
+    sums = np.zeros((2, CODES**3))
+    for at, triples, w in expanded(rows):
+        for side, n in zip(sums, (toxic, clean), strict=True):
+            side += np.bincount(triples.ravel(), (n[at][:, None] * w).ravel(), CODES**3)
+    whole, pieces = apart(toxic, clean), margins(apart(*sums).astype(np.float32), 0.0)
+    prior = (whole / max(whole.max(), 1e-9) + pieces / max(pieces.max(), 1e-9)) / 2
+    place = {u: i for i, u in enumerate(units)}
+    phrases = np.array([(i, *(place[w] for w in u.split(" "))) for i, u in enumerate(units) if " " in u], np.int64).reshape(-1, 3).T
+    unit = np.repeat(np.arange(len(units)), toxic)
+    owner = np.unique(np.concatenate([np.asarray(b, np.int64) for b in bags if b]), return_inverse=True)[1]
+    held = np.zeros(len(units), bool)
+    held[np.argsort(-np.where(clean > 0, prior, -np.inf), kind="stable")[: 16 * LANDMARKS]] = True
+    margin = prior - 1
+    for n in range(ROUNDS):
+        choice = margin + 1 + prior
+        # A phrase says something only beyond its own words.
+        choice[phrases[0]] *= choice[phrases[0]] > 1.1 * choice[phrases[1:]].max(0)
+        choice[toxic < LEAST_TEXTS] = 0
+        best = np.zeros(owner.max() + 1)
+        np.maximum.at(best, owner, choice[unit])
+        says = choice[unit] >= np.maximum(TIED * best[owner], 1e-9)
+        witness, back = np.unique(unit[says], return_inverse=True)
+        seen = np.bincount(back, (1 / np.maximum(np.bincount(owner[says]), 1))[owner[says]])
+        if n:
+            held |= margin > -1.0
+        negative = np.flatnonzero(held & (clean > 0))
+        model = machine([units[i] for i in witness], seen, [units[i] for i in negative], clean[negative], texts, margin[negative])
+        margin = margins(model.weights, model.bias)
+    model.phrases = frozenset(units[i] for i in witness if " " in units[i] and margin[i] > 0)
+    return model
 
 
 def calibrated(model: Model, worst: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Model:
@@ -195,80 +335,70 @@ def calibrated(model: Model, worst: np.ndarray, toxic: np.ndarray, weight: np.nd
         for middle in np.linspace(-1, 1.5, 51):
             z = np.clip(slope * (worst - middle), -30, 30) * np.where(toxic > 0, 1, -1)
             best = min(best, (float((weight * np.log1p(np.exp(-z))).sum()), slope, float(middle)))
-    return Model(model.weights, model.bias, *best[1:])
+    model.slope, model.middle = best[1:]
+    return model
 
 
-def labelled_words(sample: DataFrame, copy: int = COPY) -> tuple[DataFrame, float]:
-    """``word, t, n`` of all words of ``sample`` (key, text, toxic), and the share of toxic texts.
+def labelled_units(sample: DataFrame, copy: int = COPY) -> DataFrame:
+    """``unit, clean, bags`` of all units of ``sample`` (key, text, toxic): in how many clean texts each is, and the numbers of its toxic texts.
 
-    n counts the texts that hold the word and t the toxic ones; near copies with
-    one label count as one text.  A sentence that also stands in a clean text is clean.
+    Of near copies with one label the smallest key speaks.  Phrases of fewer
+    than PHRASE_TEXTS toxic texts are left out.
     """
     groups = near_duplicates(sample, "key", copy).select("key", F.col("component_id").alias("group"))
-    grouped = sample.join(F.broadcast(groups), "key")
+    speaks = sample.drop("text").join(groups, "key").groupBy("toxic", "group").agg(F.min("key").alias("key")).select("key", F.xxhash64("key").alias("number"))
+    rows = sample.join(F.broadcast(speaks), "key").select("number", "toxic", "text")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[sorted({plain(w) for w in words_of(s)} - {""}) for s in _SENTENCE.split(t.decode("utf-8", "replace").lower())] for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("group"), pa.array(found, pa.list_(pa.list_(pa.string())))], ["toxic", "group", "sentences"])
+        found = [sorted({p for u in units_of(t.decode("utf-8", "replace")) for p in parts_of(u)}) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("number"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["number", "toxic", "units"])
 
-    kind = grouped.schema["group"].dataType.simpleString()
-    sentences = map_batches(grouped, read, f"toxic int, group {kind}, sentences array<array<string>>").select("toxic", "group", F.explode("sentences").alias("words")).where("size(words) > 0")
-    held = lambda y: F.collect_set(F.when(F.col("toxic") == y, F.col("group")))
-    sentences = sentences.groupBy("words").agg(F.min("toxic").alias("toxic"), held(0).alias("clean"), held(1).alias("bad"))
-    sentences = sentences.select("toxic", "words", F.explode(F.when(F.col("toxic") == 0, F.col("clean")).otherwise(F.col("bad"))).alias("group"))
-    rows = written(sentences.select("toxic", "group", F.explode("words").alias("word")).distinct(), "labelled-words")
-    counts = written(rows.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")), "words")
-    return counts, rows.select("toxic", "group").distinct().agg(F.avg("toxic")).first()[0] or 0.0
+    units = map_batches(rows, read, "number long, toxic int, units array<string>").select("number", "toxic", F.explode("units").alias("unit"))
+    units = units.groupBy("unit").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.collect_list(F.when(F.col("toxic") == 1, F.col("number"))).alias("bags"))
+    return units.where(~F.contains("unit", F.lit(" ")) | (F.size("bags") >= PHRASE_TEXTS))
 
 
-def positive_words(counts: DataFrame, share: float, pure: float = PURE, letters: int = LETTERS) -> list[tuple[str, int]]:
-    """(word, t) of every word that passes the chance test, the most frequent first."""
-    # Words that chance would give such a share of toxic texts less than once in ten corpora (Chernoff's bound, for all words).
-    ratio = F.col("t") / F.col("n")
-    beyond = F.col("n") * (ratio * F.log(ratio / share) + F.when(ratio < 1, (1 - ratio) * F.log((1 - ratio) / (1 - share))).otherwise(0.0)) > float(np.log(10 * counts.count()))
-    rows = counts.where((F.length("word") >= letters) & (F.col("t") > 0) & (ratio >= pure)).where(beyond).orderBy(F.desc("t"), "word")
-    return [(r["word"], r["t"]) for r in rows.collect()]
+_MODEL = "weights binary, bias double, phrases array<string>, landmarks array<string>, alphas array<double>"
 
 
-def mistaken_words(clean: DataFrame, model: Model, most: int = HARD) -> dict[str, int]:
-    """The ``most`` words of ``clean`` (word, n) of largest margin, with n; all words are rated."""
-    shared = clean.sparkSession.sparkContext.broadcast(model)
+def trained(units: DataFrame, texts: tuple[int, int]) -> Model:
+    """The machine of ``labelled_units``, fitted in one task: the bound on labelled documents bounds its rows."""
 
-    def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        margins = shared.value.margins(batch.column("word").to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(margins.astype(np.float64))], ["word", "n", "margin"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by("unit")
+        names = rows["unit"].to_pylist()
+        if names:
+            model = learned(names, rows["clean"].to_numpy(), [sorted(b) for b in rows["bags"].to_pylist()], texts)
+            out = [model.weights.tobytes()], [model.bias], [sorted(model.phrases)], [model.landmarks], [model.alphas]
+            kinds = pa.binary(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], [c.split()[0] for c in _MODEL.split(", ")])
 
-    rows = map_batches(clean, rate, "word string, n long, margin double").orderBy(F.desc("margin"), "word").limit(most)
-    return {r["word"]: r["n"] for r in rows.collect()}
+    found = units.repartition(1).mapInArrow(run, _MODEL).first()
+    return Model(np.frombuffer(bytes(found["weights"]), np.float32), found["bias"], phrases=frozenset(found["phrases"]), landmarks=found["landmarks"], alphas=found["alphas"]) if found else NOTHING
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, copy: int = COPY, pure: float = PURE, letters: int = LETTERS) -> Model:
-    """Fit on the words of at most ``max_toxic`` and ``max_clean`` labelled documents, chosen by hash of their key.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, copy: int = COPY) -> Model:
+    """Fit on the sentences of at most ``max_toxic`` and ``max_clean`` labelled documents, chosen by hash of their key.
 
-    The positive words are all that have ``letters`` characters and ``pure`` of
-    their texts toxic, far beyond chance; texts of one label that share ``copy``
-    percent of their shingles, chained, count once, so what copies repeat is no
-    evidence.  The negative ones are a sample of the words with under half of
-    their texts toxic: MAX_WORDS by hash and the 2000 most frequent.  Without
-    both labels, or without such words, the model scores every text near 0.
+    A key with both labels counts as toxic; of rows that repeat a key the first
+    text by hash counts.  Texts of one label that share ``copy`` percent of
+    their shingles, chained, count once, so what copies repeat is no evidence.
+    Without both labels the model scores every text near 0.
     """
-    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").dropDuplicates(["key"])
+    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
-    sample = written(docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen[0].union(chosen[1])), "key").dropDuplicates(["key"]), "labelled")
-    nothing = Model(np.zeros(CODES**3, np.float32), -1.0, 4.0, 2.0)
-    counts, share = labelled_words(sample, copy)
-    if not 0 < share < 1:
-        return nothing
-    found = positive_words(counts, share, pure, letters)
-    positive, seen = [w for w, _ in found], [n for _, n in found]
-    clean = counts.where("t < 0.5 * n")
-    negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).union(clean.orderBy(F.desc("n"), "word").limit(2000)).select("word").distinct().collect()]
-    if not positive or not negative:
-        return nothing
-    model = machine(positive, sorted(negative), seen)
-    model = machine(positive, sorted(negative), seen, mistaken_words(clean.select("word", (F.col("n") - F.col("t")).alias("n")), model))
-    worst = score(sample, model, "key", keep=["toxic"]).select("toxic", "worst").toPandas()
+    met = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen[0].union(chosen[1])), "key")
+    sample = written(met.groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("held", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(HELD)) == 0), "labelled")
+    count = {(r["toxic"], r["held"]): r["count"] for r in sample.groupBy("toxic", "held").count().collect()}
+    calibrates = count.get((1, True), 0) >= LEAST_HELD and count.get((0, True), 0) >= LEAST_HELD
+    texts = tuple(count.get((y, False), 0) + (0 if calibrates else count.get((y, True), 0)) for y in (1, 0))
+    if not all(texts):
+        return NOTHING
+    model = trained(labelled_units(sample.where("not held") if calibrates else sample, copy), texts)
+    if not calibrates or model is NOTHING:
+        return model
+    worst = score(sample.where("held"), model, "key", keep=["toxic"]).select("toxic", "worst").toPandas()
     toxic = worst["toxic"].to_numpy(np.float64)
     weight = np.where(toxic > 0, sizes.get(1, 0) / max((toxic > 0).sum(), 1), sizes.get(0, 0) / max((toxic == 0).sum(), 1))
     return calibrated(model, worst["worst"].to_numpy(np.float64), toxic, weight)

@@ -110,20 +110,21 @@ def test_quality_edges(spark):
 # String kernel
 
 
+def brute_map(w):
+    c, out = toxicity.codes_of(w), {}
+    for i, j, l in itertools.combinations(range(len(c)), 3):
+        if l - i < toxicity.REACH:
+            out[(c[i], c[j], c[l])] = out.get((c[i], c[j], c[l]), 0) + toxicity.DECAY ** (l - i - 2)
+    norm = math.sqrt(sum(toxicity.DECAY ** (2 * (l - i - 2)) for i, j, l in itertools.combinations(range(len(c)), 3) if l - i < toxicity.REACH))
+    return {x: v / norm for x, v in out.items()} if out else {}
+
+
 def test_kernel_is_the_product_of_feature_maps():
     words = ["idiot", "idxiot", "table", "a", "", "idiotidiotidiotidiotid"]
     k = toxicity.kernel(words, words)
     assert np.allclose(k, k.T, atol=1e-5) and np.linalg.eigvalsh(k.astype(float)).min() > -1e-4
 
-    def brute(w):
-        c, out = toxicity.codes_of(w), {}
-        for i, j, l in itertools.combinations(range(len(c)), 3):
-            if l - i < toxicity.REACH:
-                out[(c[i], c[j], c[l])] = out.get((c[i], c[j], c[l]), 0) + toxicity.DECAY ** (l - i - 2)
-        norm = math.sqrt(sum(toxicity.DECAY ** (2 * (l - i - 2)) for i, j, l in itertools.combinations(range(len(c)), 3) if l - i < toxicity.REACH))
-        return {x: v / norm for x, v in out.items()} if out else {}
-
-    maps = [brute(w) for w in words]
+    maps = [brute_map(w) for w in words]
     for a, x in enumerate(maps):
         for b, y in enumerate(maps):
             assert abs(k[a, b] - sum(v * y.get(t, 0) for t, v in x.items())) < 1e-4
@@ -142,6 +143,40 @@ def test_toxicity_held_out_and_disguised(spark):
     assert got[0] < 0.3 and (got[1:] >= queries.TOXIC).all(), got.tolist()
 
 
+def test_margins_are_kernel_sums_over_landmarks():
+    r = np.random.default_rng(3)
+    words = sorted({"".join(r.choice(list("abcdefgh"), 5)) for _ in range(120)})
+    bags = [[i % 9, 20 + i % 5] if i % 11 == 0 else [] for i in range(len(words))]
+    model = toxicity.learned(words, np.array([0 if b else 3 for b in bags]), bags, (25, 40))
+    asked = [*words[:20], "abx", "hgfe"]
+    k = [[sum(v * maps[1].get(t, 0) for t, v in maps[0].items()) for maps in ((brute_map(a), brute_map(b)) for b in model.landmarks)] for a in asked]
+    want = np.array(k) @ np.array(model.alphas) + model.bias
+    assert np.allclose(model.margins(asked), np.maximum(want, -1), atol=1e-3)
+
+
+def test_phrase_of_harmless_words(spark):
+    r = np.random.default_rng(6)
+    vocabulary = ["".join(r.choice(list("bdfgklmnprstvaeiou"), 6)) for _ in range(800)]
+    some = lambda n: " ".join(r.choice(vocabulary, n))
+    rows = [(i, f"{some(8)}. {some(3)} dolmen varrik {some(3)}.", 1) for i in range(60)]
+    rows += [(100 + i, f"{some(5)} {('dolmen', 'varrik')[i % 2]} {some(5)}. {some(4)} varrik {some(2)} dolmen.", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    asked = [(0, "Now a dolmen varrik here"), (1, "a varrik dolmen here"), (2, "dolmen and varrik")]
+    got = [x["score"] >= queries.TOXIC for x in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert model.phrases == {"dolmen varrik"} and got == [True, False, False]
+
+
+def test_toxicity_keys_and_labels_that_repeat(spark):
+    docs = spark.createDataFrame([(None, "you idiot"), (1, "you idiot"), (1, "fine words"), *((i, f"so {w} said {i} n{7 * i}") for i, w in enumerate(["idiot", "table"] * 20, 2))], "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (1, 0), (1, 1), *((i, 1 - i % 2) for i in range(2, 42))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    again = toxicity.fit(docs.repartition(3), labels.repartition(2))
+    assert np.allclose(model.weights, again.weights, atol=1e-4)
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == 43 and all((r["score"] >= 0.5) == (t == "idiot") for r, t in zip(sorted(out[3:], key=lambda r: r["doc_id"]), ["idiot", "table"] * 20, strict=True))
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([None, "", "!!!", "a", "x" * 5000, "b " * 3000])], "doc_id long, text string, worst string")
     for labels in ([], [(3, 1)], [(0, 1), (1, 0), (77, 1), (None, 1), (5, None)]):
