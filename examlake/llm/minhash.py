@@ -87,81 +87,92 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
+def digest_of(elements: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit numbers that name a set: the first is its node among the links, both together its class."""
+    raw = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """``key, n, print, bands``: set size, a digest of the whole set (null if empty) and its band keys."""
+    """``key, n, node, mark, bands``: set size, the two numbers of the set (null if empty) and its band keys."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, prints, keys = [], [], []
+        sizes, nodes, marks, keys = [], [], [], []
         for text in texts_of(batch):
             s = shingles(text)
             sizes.append(len(s))
-            prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            node, mark = digest_of(s) if len(s) else (None, None)
+            nodes.append(node)
+            marks.append(mark)
             keys.append(bands(super_minhash(s)) if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["key", "n", "print", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x, pa.int64()) for x in (sizes, nodes, marks)), pa.array(keys, pa.list_(pa.int64()))], ["key", "n", "node", "mark", "bands"])
+
+    return map_batches(docs, sign, f"key {docs.schema['key'].dataType.simpleString()}, n long, node long, mark long, bands array<long>")
 
-    return map_batches(docs, sign, f"key {docs.schema['key'].dataType.simpleString()}, n long, print binary, bands array<long>")
 
+def _with_sets(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` (node, g array<struct<...>>) with the shingle set of each node: one row for each element of g.
 
-def _with_sets(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``groups`` (key, g array<struct<...>>) with the shingle set of each key's text: one row for each element of g."""
+    ``reps`` (node, key) says whose text has the set; of rows that share that
+    key only those with this very set are taken.
+    """
     fields = groups.schema["g"].dataType.elementType
-    kind = docs.schema["key"].dataType.simpleString()
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([shingles(t).tobytes() for t in texts_of(batch)], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("g"), sets], ["key", "g", "set"])
+        sets = [shingles(t) for t in texts_of(batch)]
+        right = [len(s) > 0 and digest_of(s)[0] == node for s, node in zip(sets, batch.column("node").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("g"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "g", "set"]).filter(pa.array(right, pa.bool_()))
 
     # Groups grow with the corpus: they meet the texts by the same sorted join at every size and are never broadcast.
-    rows = map_batches(docs.join(groups.hint("merge"), "key").select("key", "text", "g"), read, f"key {kind}, g array<{fields.simpleString()}>, set binary")
-    return rows.select("key", "set", F.inline("g"))
+    wanted = groups.join(reps, "node")
+    rows = map_batches(docs.join(wanted.hint("merge"), "key").select("node", "text", "g"), read, f"node long, g array<{fields.simpleString()}>, set binary")
+    return rows.select("node", "set", F.inline("g"))
 
 
-def _star_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (hub, key) those whose sets are similar, as links (a, b).
+def _star_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (hub, node) those whose sets are similar, as links (a, b).
 
     A hub's members come in sorted runs of about RUN, each behind the hub's own
     set; a task holds one hub set and one member at a time.
     """
-    kind = docs.schema["key"].dataType.simpleString()
     runs = pairs.groupBy("hub").agg(F.expr(f"cast((count(*) + {RUN - 1}) div {RUN} as int)").alias("runs"))
-    spread = pairs.join(runs, "hub").select("key", F.struct("hub", F.pmod(F.xxhash64("key"), "runs").cast("int").alias("run"), F.lit(1).alias("side")).alias("g"))
-    hubs = runs.select(F.col("hub").alias("key"), F.explode(F.transform(F.expr("sequence(0, runs - 1)"), lambda r: F.struct("hub", r.alias("run"), F.lit(0).alias("side")))).alias("g"))
-    rows = _with_sets(docs, written(spread.union(hubs).groupBy("key").agg(F.collect_list("g").alias("g")), "runs"))
+    spread = pairs.join(runs, "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), "runs").cast("int").alias("run"), F.lit(1).alias("side")).alias("g"))
+    hubs = runs.select(F.col("hub").alias("node"), F.explode(F.transform(F.expr("sequence(0, runs - 1)"), lambda r: F.struct("hub", r.alias("run"), F.lit(0).alias("side")))).alias("g"))
+    rows = _with_sets(docs, reps, written(spread.union(hubs).groupBy("node").agg(F.collect_list("g").alias("g")), "runs"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hubs = None, []
+        at, held = None, None
         for batch in batches:
             a, b = [], []
-            for hub, run, side, key, data in zip(*(batch.column(c) for c in ("hub", "run", "side", "key", "set")), strict=True):
-                hub, key, s = hub.as_py(), key.as_py(), np.frombuffer(data.as_py(), np.uint64)
-                if (hub, run.as_py()) != at:
-                    at, hubs = (hub, run.as_py()), []
+            for hub, run, side, node, data in zip(*(batch.column(c) for c in ("hub", "run", "side", "node", "set")), strict=True):
+                now, s = (hub.as_py(), run.as_py()), np.frombuffer(data.as_py(), np.uint64)
+                if now != at:
+                    at, held = now, None
                 if side.as_py() == 0:
-                    hubs.append(s)
-                elif any(similar(h, s, percent) for h in hubs):
-                    a.append(hub)
-                    b.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("hub").type), pa.array(b, batch.column("key").type)], ["a", "b"])
+                    held = s
+                elif held is not None and similar(held, s, percent):
+                    a.append(now[0])
+                    b.append(node.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("hub", "run").sortWithinPartitions("hub", "run", "side").mapInArrow(compare, f"a {kind}, b {kind}")
+    return rows.repartition("hub", "run").sortWithinPartitions("hub", "run", "side").mapInArrow(compare, "a long, b long")
 
 
-def _block_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between members (bucket, key, comp) of a bucket that lie in different components.
+def _block_links(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between members (bucket, node, comp) of a bucket that lie in different components.
 
     A bucket's members fall into blocks of about BLOCK; each pair of blocks is a
     group of its own that compares what is still apart and passes on the links
     that connect it.
     """
-    kind = docs.schema["key"].dataType.simpleString()
     blocks = members.groupBy("bucket").agg(F.expr(f"cast((count(*) + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
-    own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     spread = members.join(blocks, "bucket").withColumn("own", own)
     cell = F.transform(F.expr("sequence(0, blocks - 1)"), lambda j: F.struct("bucket", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "own", "comp"))
-    rows = _with_sets(docs, written(spread.select("key", F.explode(cell).alias("g")).groupBy("key").agg(F.collect_list("g").alias("g")), "blocks"))
+    rows = _with_sets(docs, reps, written(spread.select("node", F.explode(cell).alias("g")).groupBy("node").agg(F.collect_list("g").alias("g")), "blocks"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, kind = None, [], None
+        at, held = None, []
 
         def links() -> pa.RecordBatch:
             up = {c: c for *_, c in held}
@@ -174,27 +185,44 @@ def _block_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame
                 return c
 
             cross = at and at[1] != at[2]
-            for x, (own, key, s, comp) in enumerate(held):
-                for own2, key2, s2, comp2 in held[:x]:
+            for x, (own, node, s, comp) in enumerate(held):
+                for own2, node2, s2, comp2 in held[:x]:
                     if (not cross or own != own2) and top(comp) != top(comp2) and similar(s, s2, percent):
                         up[top(comp)] = top(comp2)
-                        a.append(key)
-                        b.append(key2)
+                        a.append(node)
+                        b.append(node2)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            kind = batch.column("key").type
-            for bucket, i, j, own, key, comp, data in zip(*(batch.column(c) for c in ("bucket", "i", "j", "own", "key", "comp", "set")), strict=True):
+            for bucket, i, j, own, node, comp, data in zip(*(batch.column(c) for c in ("bucket", "i", "j", "own", "node", "comp", "set")), strict=True):
                 if (now := (bucket.as_py(), i.as_py(), j.as_py())) != at:
                     if held:
                         yield links()
                     at = now
-                held.append((own.as_py(), key.as_py(), np.frombuffer(data.as_py(), np.uint64), comp.as_py()))
+                held.append((own.as_py(), node.as_py(), np.frombuffer(data.as_py(), np.uint64), comp.as_py()))
         if held:
             yield links()
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, f"a {kind}, b {kind}")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def _second_links(docs: DataFrame, reps: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Links to a second hub: the smallest member of each bucket that is not in its first hub's component meets the rest of them."""
+    first = apart.groupBy("bucket").agg(F.min(F.struct("node", "comp")).alias("first"))
+    rest = apart.join(first, "bucket").where("comp <> first.comp")
+    second = rest.groupBy("bucket").agg(F.min(F.struct("node", "comp")).alias("second"))
+    pairs = rest.join(second, "bucket").where("node <> second.node and comp <> second.comp").select(F.col("second.node").alias("hub"), "node").distinct()
+    return _star_links(docs, reps, written(pairs, "second-pairs"), percent)
+
+
+def _apart(meetings: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, node, comp) of the buckets that lie in several components; of buckets with the same members one is enough."""
+    placed = meetings.where("members > 2").join(comps.select("node", "component"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    placed = written(placed.distinct(), "placed")
+    found = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("lo <> hi")
+    found = found.groupBy("c", "x", "first", "last").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return placed.join(found, "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -204,31 +232,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     sets; ``component_id`` is the smallest key reachable and ``kept`` marks it.
     Below the usual percent the bands find a single pair less surely (0.72 at 50).
     Null and empty texts have no shingles and link with nothing.  Keys are meant
-    to be unique; rows that repeat one follow each its own text.  A row without
-    a key is linked with nothing, has no component and is kept.
+    to be unique; links hold between texts, so rows that repeat a key follow each
+    its own text, and those of them that are their group's smallest are all
+    kept.  A row without a key is linked with nothing, has no component and is
+    kept.  Sets meet under 64-bit names, which join two unlike ones about once
+    in ten billion documents.
     """
     docs = docs.select(F.col(key).alias("key"), "text")
     sets = written(signed(docs), "signed")
-    classes = sets.where("print is not null and key is not null").groupBy("print", "n").agg(F.min("key").alias("rep"))
+    own = sets.where("node is not null and key is not null")
+    classes = own.groupBy("node", "mark", "n").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands"))
     classes = written(classes, "classes")
-    firsts = sets.join(classes.select(F.col("rep").alias("key"), "print", "n"), ["key", "print", "n"], "left_semi")
-    banded = firsts.select("key", "n", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    reps = classes.groupBy("node").agg(F.min("rep").alias("key"))
+    banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
     meetings = written(banded.join(hubs, "bucket"), "meetings")
-    sizes = meetings.where("key = hub").groupBy(F.col("key").alias("hub")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = meetings.where("key <> hub").groupBy("hub", "key").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    pairs = pairs.join(sizes, "hub").where(f"100 * most >= {percent} * lo and 100 * hi >= {percent} * least").select("hub", "key")
-    links = written(_star_links(docs, written(pairs, "pairs"), percent), "links")
+    sizes = meetings.where("node = hub").groupBy(F.col("node").alias("hub")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    pairs = meetings.where("node <> hub").groupBy("hub", "node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    pairs = pairs.join(sizes, "hub").where(f"100 * most >= {percent} * lo and 100 * hi >= {percent} * least").select("hub", "node")
+    links = written(_star_links(docs, reps, written(pairs, "pairs"), percent), "links")
     comps = components(links)
-    placed = meetings.where("members > 2").join(comps.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
-    placed = written(placed.distinct(), "placed")
-    # Buckets still in several components; of buckets with the same members one is enough.
-    apart = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("first"), F.max("key").alias("last")).where("lo <> hi")
-    apart = apart.groupBy("c", "x", "first", "last").agg(F.min("bucket").alias("bucket")).select("bucket")
-    more = written(_block_links(docs, placed.join(apart, "bucket", "left_semi"), percent), "more-links")
-    comps = components(links.union(more)) if more.take(1) else comps
-    comps = comps.select(F.col("node").alias("rep"), "component")
-    reps = classes.join(comps, "rep", "left").select("print", "n", F.coalesce("component", "rep").alias("component"))
-    node = sets.select("key", "n", "print").join(reps, ["print", "n"], "left")
-    out = node.select("key", "n", F.coalesce("component", F.when(F.col("key").isNotNull(), F.col("key"))).alias("component"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))
+    apart = _apart(meetings, comps)
+    if apart.take(1):
+        links = written(links.union(_second_links(docs, reps, apart, percent)), "links")
+        comps = components(links)
+        apart = _apart(meetings, comps)
+        more = written(_block_links(docs, reps, apart, percent), "more-links")
+        comps = components(links.union(more)) if more.take(1) else comps
+    linked = classes.select("node", "rep").join(comps, "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = reps.join(linked.join(least, "component").select("node", "least").distinct(), "node", "left").select("node", F.coalesce("least", "key").alias("component"))
+    out = sets.select("key", "n", "node").join(written(named, "named"), "node", "left")
+    out = out.select("key", "n", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))

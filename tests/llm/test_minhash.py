@@ -83,6 +83,31 @@ def test_rows_without_key_and_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_keys_that_repeat_follow_their_own_text(spark):
+    r = random.Random(9)
+    a, b, c = (words(r, 60) for _ in range(3))
+    near = lambda x: " ".join([*x[:-1], "end"])
+    rows = [(5, " ".join(a)), (7, " ".join(b)), (7, " ".join(c)), (9, near(a)), (8, near(b)), (8, near(c)), (9, near(a)), (20, "alone here")]
+    got = sorted(tuple(r)[::2] for r in minhash.near_duplicates(spark.createDataFrame([(k, t, 0, "x") for k, t in rows], SCHEMA)).collect())
+    assert got == [(5, 5), (7, 7), (7, 7), (8, 7), (8, 7), (9, 5), (9, 5), (20, 20)]
+    # Keys of several columns are as good as numbers.
+    from pyspark.sql import functions as F
+
+    keyed = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "a long, b long, text string").select(F.struct("a", "b").alias("id"), "text")
+    found = minhash.near_duplicates(keyed, "id").where("kept").select("id.b").collect()
+    assert sorted(r["b"] for r in found) == [0, 1, 2, 7]
+
+
+def test_second_hub_joins_what_the_first_does_not(spark, monkeypatch):
+    blocks = []
+    true = minhash._block_links
+    monkeypatch.setattr(minhash, "_block_links", lambda docs, reps, members, percent: blocks.append(members.count()) or true(docs, reps, members, percent))
+    r = random.Random(2)
+    base = words(r, 300)
+    check(spark, [(i, " ".join(edited(r, base, 6))) for i in range(60)] + [(100, " ".join(base))])
+    assert blocks in ([], [0]) or blocks[0] < 60 * minhash.BANDS
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     for shared, each in ((90, 10), (300, 100), (5, 5), (20000, 3000)):
