@@ -78,6 +78,19 @@ def encode_pieces(pieces: list[bytes], path: str) -> list[bytes]:
     return [np.asarray(x.ids, kind).tobytes() for x in tokenizer(path).encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
 
 
+class Chunks:
+    """A chunk table as two Arrow columns; each worker makes its dictionary once, the driver none."""
+
+    def __init__(self, pieces: pa.Array, ids: pa.Array):
+        self.pieces, self.ids = pieces, ids
+
+    def table(self) -> dict[bytes, bytes]:
+        if self.pieces is not None:
+            self.of = dict(zip(self.pieces.to_pylist(), self.ids.to_pylist(), strict=True))
+            self.pieces = self.ids = None
+        return self.of
+
+
 def chunk_table(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """``piece, ids``: the most frequent distinct chunks of all texts, at most ``head``, each encoded once."""
     counts = written(count_pieces(docs, lambda text: chunks(text, path)), "chunks")
@@ -100,10 +113,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", head: int = HEAD) ->
     """
     kind = width(path)
     rows = docs.select(F.col(key).alias("key"), "text")
-    known = docs.sparkSession.sparkContext.broadcast({bytes(r["piece"]): bytes(r["ids"]) for r in chunk_table(rows, path, head).collect()})
+    found = chunk_table(rows, path, head).toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(Chunks(*(found[c].cast(pa.large_binary()).combine_chunks() for c in ("piece", "ids"))))
 
     def look_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of, out = known.value, []
+        of, out = known.value.table(), []
         for text in texts_of(batch):
             pieces = chunks(text, path)
             parts = list(map(of.get, pieces))
