@@ -24,6 +24,8 @@ SPAN = WINDOW - GRAM + 1
 BROADCAST_ROWS = 1_000_000
 #: Bits of the filter that keeps documents' other windows out of that shuffle, whatever the benchmark's size.
 FILTER_BITS = 1 << 25
+#: Parts into which the documents' rows fall where they meet the windows by shuffle.
+SALTS = 16
 
 
 def winnow(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -83,20 +85,26 @@ def window_table(items: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return windows, read_items.select(F.explode("prints").alias("print"), "length").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``key, n_words, n_hit, items`` for every row of ``docs``: words, words inside an occurring window, and the sorted ids, as text, of items with one.
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", broadcast_rows: int = BROADCAST_ROWS, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``key, n_words, n_hit, items`` and the columns ``keep`` for every row of ``docs``: words, words inside an occurring window, and the sorted ids, as text, of items with one.
 
     Both frames need their key and ``text``; other columns are ignored.  Null
     and empty texts have no words and hit nothing; items without a key or words
     are in no document.  Keys may repeat or be null: each row follows its own text.
     """
-    docs = docs.select(F.col(key).alias("key"), "text")
+    others = [c for c in keep if c != "text"]
+    docs = docs.select(F.struct(F.col(key).alias("key"), *others).alias("own"), "text")
     windows, prints = window_table(items, item_key)
-    found = _by_broadcast(docs, windows, prints) if windows.count() <= broadcast_rows else _by_shuffle(docs, windows, prints)
-    return found.withColumnRenamed("key", key)
+    carried = ["own", "text"] if "text" in keep else ["own"]
+    found = _by_broadcast(docs, windows, prints, carried) if windows.count() <= broadcast_rows else _by_shuffle(docs, windows, prints, carried)
+    return found.select(F.col("own.key").alias(key), *(F.col(f"own.{c}").alias(c) for c in others), *carried[1:], "n_words", "n_hit", "items")
 
 
-def _by_broadcast(docs: DataFrame, windows: DataFrame, prints: DataFrame) -> DataFrame:
+def _kinds(docs: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _by_broadcast(docs: DataFrame, windows: DataFrame, prints: DataFrame, carried: list[str]) -> DataFrame:
     table = windows.select("length", "window", F.col("item").cast("string")).toPandas()
     held = {}
     for n, rows in table.groupby("length"):
@@ -131,9 +139,9 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, prints: DataFrame) -> Dat
             out["n_words"].append(len(words))
             out["n_hit"].append(int((np.cumsum(depth) > 0).sum()))
             out["items"].append(sorted(items))
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string()))], ["key", *out])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string()))], [*carried, *out])
 
-    return map_batches(docs, search, f"key {docs.schema['key'].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
+    return map_batches(docs, search, f"{_kinds(docs, carried)}, n_words long, n_hit long, items array<string>")
 
 
 def _bit(x: np.ndarray, n: int) -> np.ndarray:
@@ -161,7 +169,7 @@ def _filter(prints: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _by_shuffle(docs: DataFrame, windows: DataFrame, prints: DataFrame) -> DataFrame:
+def _by_shuffle(docs: DataFrame, windows: DataFrame, prints: DataFrame, carried: list[str]) -> DataFrame:
     lengths = [r["length"] for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast(_filter(prints))
 
@@ -172,21 +180,30 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, prints: DataFrame) -> DataF
             at = _bit(x, n)
             return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
-        sizes, found = [], []
+        sizes, found = [], {"length": [], "start": [], "window": []}
+        ends = [0]
         for text in texts_of(batch):
             words = word_hashes(text, LETTERS)
             sizes.append(len(words))
-            found.append([{"length": n, "start": int(s), "window": int(h)} for n, starts, hashes in candidates(words, known, lengths) for s, h in zip(starts, hashes.view(np.int64), strict=True)])
-        kind = pa.list_(pa.struct([("length", pa.int32()), ("start", pa.int64()), ("window", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(found, kind)], ["key", "row", "n_words", "found"])
+            n = ends[-1]
+            for length, starts, hashes in candidates(words, known, lengths):
+                found["length"].append(np.full(len(starts), length, np.int32))
+                found["start"].append(np.asarray(starts, np.int64))
+                found["window"].append(hashes.view(np.int64))
+                n += len(starts)
+            ends.append(n)
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int32() if k == "length" else pa.int64()) for k, v in found.items()], list(found))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "row")), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*carried, "row", "n_words", "found"])
 
     # Numbers of rows are written with what was found, so both sides of each later join have the same.
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    searched = written(map_batches(numbered, search, f"key {docs.schema['key'].dataType.simpleString()}, row long, n_words long, found array<struct<length int, start long, window long>>"), "searched")
-    rows = searched.select("row", F.inline("found"))
-    spans = rows.join(windows.select("window", "length").distinct(), ["window", "length"], "left_semi").select("row", F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("span"))
+    searched = written(map_batches(numbered, search, f"{_kinds(docs, carried)}, row long, n_words long, found array<struct<length int, start long, window long>>"), "searched")
+    # Windows that very many documents hold are dealt over SALTS tasks, each with its own copy of the items' few rows.
+    rows = searched.select("row", F.inline("found")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    dealt = windows.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    spans = rows.join(dealt.select("window", "length", "salt").distinct(), ["window", "length", "salt"], "left_semi").select("row", F.struct("start", (F.col("start") + F.col("length")).alias("stop")).alias("span"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["to"]))).alias("n"), F.greatest(a["to"], s["stop"]).alias("to")), lambda a: a["n"])
-    items = rows.join(windows, ["window", "length"]).select("row", F.col("item").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = rows.join(dealt, ["window", "length", "salt"]).select("row", F.col("item").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = spans.select("row", covered.alias("n_hit")).join(items, "row")
-    return searched.select("key", "row", "n_words").join(hit, "row", "left").select("key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return searched.select(*carried, "row", "n_words").join(hit, "row", "left").select(*carried, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -68,6 +68,14 @@ def test_query_digest(spark, sf):
     assert r["items_sha256"] == hashlib.sha256(b"").hexdigest() and r["n_items"] == 0
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_columns_kept(spark, most):
+    item = "a b c d e f g h i j"
+    docs = spark.createDataFrame([(1, f"x {item}", "p", "q"), (1, None, "r", None)], DOCS)
+    got = decontaminate.contamination(docs, spark.createDataFrame([(1, item, "")], ITEMS), broadcast_rows=most, keep=["text", "item_id"])
+    assert got.columns == ["doc_id", "item_id", "text", "n_words", "n_hit", "items"] and sorted(map(tuple, got.collect()), key=str) == [(1, "p", f"x {item}", 11, 10, ["1"]), (1, "r", None, 0, 0, [])]
+
+
 @pytest.mark.parametrize("most", [0, 1_000_000])
 def test_null_and_repeated_keys(spark, most):
     item = "a b c d e f g h i j"
