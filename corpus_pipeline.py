@@ -28,15 +28,20 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each near-duplicate component."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each near-duplicate component, that of the smallest doc_id; of rows that repeat it, one.
+
+    Rows without a doc_id come before all others.  Rows without words are in no component and stay.
+    """
+    docs = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(docs.select(F.struct("doc_id", "row").alias("id"), "text"), "id")
+    gone = found.where(~F.col("kept")).select("id.row")
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
+    """Rows without any window of a benchmark item, whatever their doc_id."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=[c for c in COLUMNS if c != "doc_id"])
+    return found.where("n_hit = 0").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
