@@ -46,6 +46,8 @@ EVIDENCE = 0.3
 LEAST_TEXTS = 2
 #: A toxic text's witnesses are all its units that come within this share of its worst.
 TIED = 0.5
+#: The margin beyond which a clean unit joins the training.
+WITHIN = -0.75
 #: Toxic texts that must share a two-word phrase before it is a unit of its own.
 PHRASE_TEXTS = 5
 #: One labelled text in HELD calibrates and never trains; with fewer than LEAST_HELD toxic ones the machine's own boundary stays.
@@ -232,16 +234,22 @@ def minimised(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: np.ndarra
     beta = np.zeros(x.shape[1])
     beta[-1] = -1.0
 
+    parts = [slice(i, i + 4096) for i in range(0, len(x), 4096)]
+
     def loss(b: np.ndarray) -> tuple[float, np.ndarray]:
         short = np.maximum(0, 1 - y * (x @ b.astype(np.float32)))
         return float((weight * short**2).sum() + 0.5 * (ridge * b**2).sum()), short
 
     now, short = loss(beta)
     for _ in range(50):
-        inside = np.flatnonzero(short)
-        rows = x[inside] * np.sqrt(weight[inside])[:, None].astype(np.float32)
-        slope = ridge * beta - 2 * ((weight[inside] * y[inside] * short[inside]) @ x[inside])
-        step = np.linalg.solve(2 * (rows.T @ rows).astype(np.float64) + np.diag(ridge), slope)
+        bend, slope = np.diag(ridge), ridge * beta
+        for part in parts:
+            inside = short[part] > 0
+            rows, w = x[part][inside], weight[part][inside]
+            slope -= 2 * ((w * y[part][inside] * short[part][inside]) @ rows)
+            rows *= np.sqrt(w)[:, None].astype(np.float32)
+            bend += 2 * (rows.T @ rows)
+        step = np.linalg.solve(bend, slope)
         size = 1.0
         while (new := loss(beta - size * step))[0] > now and size > 1e-4:
             size /= 2
@@ -269,7 +277,10 @@ def machine(positive: list[str], seen: np.ndarray, negative: list[str], clean: n
         more = variants(unit) if unit in held else []
         grown += [unit, *more]
         share += [n / 2, *([n / 2 / len(more)] * len(more))] if more else [n]
-    x = np.vstack([np.hstack([kernel(part, marks) @ root, np.ones((len(part), 1), np.float32)]) for part in (grown, negative)])
+    every = grown + negative
+    x = np.ones((len(every), len(marks) + 1), np.float32)
+    for i in range(0, len(every), 4096):
+        x[i : i + 4096, :-1] = kernel(every[i : i + 4096], marks) @ root
     y = np.r_[np.ones(len(grown)), -np.ones(len(negative))]
     beta = minimised(x, y, np.r_[share, clean / (2 * texts[1])], np.r_[np.full(len(marks), EVIDENCE / texts[0]), 1e-6])
     alphas = root @ beta[:-1]
@@ -308,6 +319,8 @@ def learned(units: list[str], clean: np.ndarray, bags: list[list[int]], texts: t
     owner = np.unique(np.concatenate([np.asarray(b, np.int64) for b in bags if b]), return_inverse=True)[1]
     held = np.zeros(len(units), bool)
     held[np.argsort(-np.where(clean > 0, prior, -np.inf), kind="stable")[: 16 * LANDMARKS]] = True
+    stride = 1 + len(units) // (64 * LANDMARKS)
+    stands = np.arange(len(units)) % stride == 0
     margin = prior - 1
     for n in range(ROUNDS):
         choice = margin + 1 + prior
@@ -320,9 +333,10 @@ def learned(units: list[str], clean: np.ndarray, bags: list[list[int]], texts: t
         witness, back = np.unique(unit[says], return_inverse=True)
         seen = np.bincount(back, (1 / np.maximum(np.bincount(owner[says]), 1))[owner[says]])
         if n:
-            held |= margin > -1.0
-        negative = np.flatnonzero(held & (clean > 0))
-        model = machine([units[i] for i in witness], seen, [units[i] for i in negative], clean[negative], texts, margin[negative])
+            held |= margin > WITHIN
+        negative = np.flatnonzero((held | stands) & (clean > 0))
+        stood = clean[negative] * np.where(held[negative], 1, stride)
+        model = machine([units[i] for i in witness], seen, [units[i] for i in negative], stood, texts, margin[negative])
         margin = margins(model.weights, model.bias)
     model.phrases = frozenset(units[i] for i in witness if " " in units[i] and margin[i] > 0)
     return model
