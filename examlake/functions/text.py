@@ -92,3 +92,23 @@ def trigrams(s: Column) -> Column:
 def table_cells(line: Column) -> Column:
     """The trimmed cells of a markdown table row."""
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|", -1), lambda x: F.trim(x))
+
+
+def grounded(source: Column, words: Column) -> Column:
+    """Whether the words stand in the source: one or two anywhere, more in one run or in order with few words of the source between them."""
+    known = F.forall(words, lambda w: F.array_contains(source, w))
+    run = F.contains(F.concat(F.lit(" "), F.array_join(source, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+    gaps = F.floor(F.size(words) / 3).cast("int") + 2
+
+    def follows(a: Column, w: Column) -> Column:
+        found = F.array_position(F.slice(source, F.greatest(a["at"], F.lit(0)) + 1, a["gaps"] + 1), w).cast("int")
+        return F.when((a["at"] > 0) & (found > 0), F.struct((a["at"] + found).alias("at"), (a["gaps"] - found + 1).alias("gaps"))).otherwise(F.struct(F.lit(0).alias("at"), a["gaps"].alias("gaps")))
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(source), F.lit(1))), lambda p: F.get(source, p - 1) == F.get(words, F.lit(0)))
+    in_order = F.exists(starts, lambda p: F.aggregate(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), F.struct(p.alias("at"), gaps.alias("gaps")), follows)["at"] > 0)
+    return F.when(F.size(words) == 0, True).when(F.size(source) == 0, False).when(F.size(words) <= 2, known).otherwise(run | in_order)
+
+
+def coverage(source: Column, words: Column) -> Column:
+    """The share of the words that stand anywhere in the source; 1 without words."""
+    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.filter(words, lambda w: F.array_contains(source, w))) / F.size(words))

@@ -43,6 +43,7 @@ def selected(pool: DataFrame, quotas: DataFrame, by: list[str], seed: int) -> Da
     Within a level the more relevant come first, then the seeded shuffle.
     Ranks are taken per section and level, so no section is larger than its pool.
     """
+    most = quotas.agg(F.coalesce(F.max("want"), F.lit(0)).cast("int")).first()[0]
     targets = {x: F.expr(f"want * {x} div 100") for x in LEVELS}
     rest = F.col("want") - sum(targets.values(), F.lit(0))
     q = quotas.select(*by, "want", targets["easy"].alias("t_easy"), (targets["medium"] + rest).alias("t_medium"), targets["hard"].alias("t_hard"))
@@ -50,8 +51,8 @@ def selected(pool: DataFrame, quotas: DataFrame, by: list[str], seed: int) -> Da
     target = F.when(F.col("level") == "easy", F.col("t_easy")).when(F.col("level") == "hard", F.col("t_hard")).otherwise(F.col("t_medium"))
     in_level = Window.partitionBy(*by, "level").orderBy(F.desc("relevance"), tie_break(seed, "question_id"), "question_id")
     ranked = pool.withColumn("level", level).join(q, by).withColumns({"rank": F.row_number().over(in_level), "target": target})
-    # No level ever gives more than the whole quota, so deeper ranks never matter.
-    ranked = ranked.where("rank <= want")
+    # No level ever gives more than the whole quota, so deeper ranks never matter; the largest quota as a literal bounds the sorts inside the tasks.
+    ranked = ranked.where(F.col("rank") <= F.lit(most)).where("rank <= want")
     turn = F.when(F.col("rank") > F.col("target"), F.col("rank") - F.col("target"))
     place = {x: F.lit(i) for i, x in enumerate(LEVELS)}
     in_turn = F.when(F.col("level") == "medium", 0).when(F.col("level") == "easy", 1).otherwise(2)

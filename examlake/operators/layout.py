@@ -29,8 +29,9 @@ def furniture(lines: DataFrame, document: str, page: str, line: str, share: floa
 def gutters(glyphs: DataFrame, page: str, row: str, x0: str, x1: str, width: Column, bins: int = 240, clear: float = 0.06, least_width: float = 0.012, most: int = 4) -> DataFrame:
     """``page, from_bin, to_bin, n``: the widest empty vertical bands between a page's columns.
 
-    A bin is clear if fewer than max(1, 6 percent) of the page's rows ink it;
-    bands touching the page's own first or last ink are margins, not gutters.
+    A bin is clear if fewer than max(1, 6 percent) of the page's rows ink it.  A
+    band is as wide as 1.2 percent of the page, two bins at least and one more at
+    the page's last ink; one that begins at its first ink is a margin.
     """
     bin_of = lambda x: F.least(F.greatest(F.floor(F.col(x) / width * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     inked = glyphs.select(page, row, F.explode(F.sequence(bin_of(x0), bin_of(x1))).alias("bin")).distinct()
@@ -39,7 +40,9 @@ def gutters(glyphs: DataFrame, page: str, row: str, x0: str, x1: str, width: Col
     every = rows.select(page, "all_rows", F.explode(F.sequence("left", "right")).alias("bin"))
     met = every.join(per_bin, [page, "bin"], "left").na.fill(0, ["rows"])
     free = met.where(F.col("rows") < F.greatest(F.lit(1.0), clear * F.col("all_rows")))
-    bands = islands(free, [page], "bin").where(F.col("n") >= least_width * bins)
+    least = max(2, int(least_width * bins))
+    bands = islands(free, [page], "bin").join(rows.select(page, "left", "right"), page)
+    bands = bands.where((F.col("first") > F.col("left")) & (F.col("n") >= least + (F.col("last") == F.col("right")).cast("int")))
     rank = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("n"), "first"))
     return bands.withColumn("rank", rank).where(F.col("rank") <= most).select(page, F.col("first").alias("from_bin"), F.col("last").alias("to_bin"), "n")
 
@@ -51,11 +54,59 @@ def bands(rows: DataFrame, page: str, top: str, crosses: str) -> DataFrame:
     return rows.withColumn("band", 2 * F.coalesce(before, F.lit(0)) + F.col(crosses).cast("int"))
 
 
-def stacked(lines: DataFrame, page: str, column: str, top: str, text: str) -> DataFrame:
-    """``page, stacked, lines``: short lines, half of them digits, that follow closer than 0.6 of the usual pitch."""
+def columns(glyphs: DataFrame, page: str, row: str, x0: str, x1: str, width: Column, bins: int = 240, least_width: float = 0.04, least_share: float = 0.04) -> DataFrame:
+    """``page, column, left, right, glyphs``: what lies between the gutters, wider than 4 percent of the page and with 4 percent of its glyphs.
+
+    A glyph belongs to the column that holds its middle, else to the nearest,
+    the left one of two; a page whose columns are all too thin is one column.
+    """
+    keyed = glyphs.withColumns({"x0": F.col(x0), "x1": F.col(x1), "width": width})
+    ink = keyed.groupBy(page).agg(F.min("x0").alias("from"), F.max("x1").alias("to"), F.max("width").alias("width"), F.count("*").alias("all"))
+    bands = gutters(keyed, page, row, "x0", "x1", F.col("width"), bins).groupBy(page).agg(F.sort_array(F.collect_list(F.struct("from_bin", "to_bin"))).alias("bands"))
+    edge = lambda b: b * F.col("width") / bins
+    none = F.array().cast("array<struct<from_bin:int,to_bin:int>>")
+    met = ink.join(bands, page, "left").withColumn("bands", F.coalesce("bands", none))
+    starts = F.concat(F.array("from"), F.transform("bands", lambda b: edge(b["to_bin"] + 1)))
+    ends = F.concat(F.transform("bands", lambda b: edge(b["from_bin"])), F.array("to"))
+    bounds = F.filter(F.arrays_zip(starts.alias("left"), ends.alias("right")), lambda b: b["right"] - b["left"] > least_width * F.col("width"))
+    whole = F.array(F.struct(F.col("from").alias("left"), F.col("to").alias("right")))
+    met = met.withColumn("bounds", F.when(F.size(bounds) > 0, bounds).otherwise(whole))
+    middle = (F.col("x0") + F.col("x1")) / 2
+    apart = F.transform("bounds", lambda b, i: F.struct(F.greatest(b["left"] - middle, middle - b["right"], F.lit(0.0)).alias("off"), i.alias("column")))
+    held = keyed.join(met.select(page, "bounds"), page).groupBy(page, F.array_min(apart)["column"].alias("at")).agg(F.count("*").alias("glyphs"))
+    kept = held.join(met, page).where(F.col("glyphs") >= least_share * F.col("all")).select(page, F.get("bounds", F.col("at")).alias("b"), "glyphs")
+    order = F.row_number().over(Window.partitionBy(page).orderBy("b.left")) - 1
+    return kept.select(page, order.alias("column"), "b.left", "b.right", "glyphs")
+
+
+def stacked(lines: DataFrame, page: str, column: str, top: str, text: str, most: int = 24) -> DataFrame:
+    """``page, stacked, lines``: short lines, half of them digits, that follow closer than 0.6 of their column's usual pitch.
+
+    Pitches are gaps between 0 and 100; a column of fewer than four lines, or of
+    fewer than three pitches, has none.
+    """
     below = F.lead(top).over(Window.partitionBy(page, column).orderBy(F.desc(top)))
     gaps = lines.withColumn("gap", F.col(top) - below)
-    pitch = gaps.groupBy(page).agg(F.median("gap").alias("pitch"))
+    steps = F.when((F.col("gap") > 0) & (F.col("gap") < 100), F.col("gap"))
+    pitch = gaps.groupBy(page, column).agg(F.median(steps).alias("pitch"), F.count(steps).alias("steps"), F.count("*").alias("n")).where("n >= 4 and steps >= 3")
     digits = F.regexp_count(text, F.lit("[0-9]"))
-    close = (F.col("gap") < 0.6 * F.col("pitch")) & (F.char_length(text) <= 12) & (2 * digits >= F.char_length(text))
-    return gaps.join(pitch, page).groupBy(page).agg(F.count_if(close).alias("stacked"), F.count("*").alias("lines"))
+    close = (F.col("gap") > 0) & (F.col("gap") < 0.6 * F.col("pitch")) & (F.char_length(text) <= most) & (digits > 0) & (2 * digits >= F.char_length(F.replace(F.col(text), F.lit(" "))))
+    return gaps.join(pitch.select(page, column, "pitch"), [page, column], "left").groupBy(page).agg(F.count_if(close).alias("stacked"), F.count("*").alias("lines"))
+
+
+def confidence(pages: Column, empty: Column, unstructured: Column, thin: Column, chars: Column, unreadable: Column, stacked: Column) -> Column:
+    """How far a document's layout can be trusted, from counts of its pages, characters and repairs; without pages not at all.
+
+    ``thin`` pages have text but fewer than five lines.
+    """
+    text = pages - empty
+    bad = F.coalesce(F.try_divide(unreadable, chars), F.lit(0.0))
+    value = (
+        1.0
+        - 0.9 * F.try_divide(empty, pages)
+        - 0.5 * F.try_divide(unstructured, pages)
+        - F.coalesce(0.3 * F.try_divide(thin, text), F.lit(0.0))
+        - F.when(bad > 0.001, F.least(F.lit(0.4), 20 * bad)).otherwise(0.0)
+        - F.least(F.lit(0.1), stacked / 400.0)
+    )
+    return F.when(pages == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))

@@ -47,16 +47,19 @@ def sections(observed: DataFrame, exam: str, paper: str, section: str, count: st
     return g.select(exam, section, "questions", "seen", "agreement", "order_index", F.round("weightage", 6).alias("weightage"))
 
 
-def confidence(drafts: DataFrame, totals: DataFrame, exam: str, total: str) -> DataFrame:
+def confidence(drafts: DataFrame, totals: DataFrame, exam: str, total: str, matched: Column | None = None) -> DataFrame:
     """``exam, confidence``: section agreement, stability of the total and amount of evidence, between 0.05 and 0.99.
 
     ``drafts`` is the result of ``sections``; ``totals`` has each paper's total.
+    ``matched`` says of a draft whether it has a subject; the share of those
+    without one takes up to 35 percent.
     """
-    s = drafts.groupBy(exam).agg((F.sum(F.col("agreement") * F.col("questions")) / F.sum("questions")).alias("section_score"))
+    without = F.count_if(~matched) if matched is not None else F.lit(0)
+    s = drafts.groupBy(exam).agg((F.sum(F.col("agreement") * F.col("questions")) / F.sum("questions")).alias("section_score"), (without / F.count("*")).alias("unmatched"))
     t = totals.groupBy(exam).agg(F.count("*").alias("papers"), F.avg(total).alias("mean"), F.stddev_pop(total).alias("deviation"))
     steady = F.when(F.col("papers") > 1, F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("deviation", "mean"), F.lit(0.0)))).otherwise(1.0)
     evidence = F.least(F.lit(1.0), 0.45 + 0.14 * F.col("papers"))
-    value = 0.55 * F.col("section_score") + 0.25 * steady + 0.20 * evidence
+    value = (0.55 * F.col("section_score") + 0.25 * steady + 0.20 * evidence) * (1 - 0.35 * F.col("unmatched"))
     return s.join(t, exam).select(exam, F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), value)), 2).alias("confidence"))
 
 

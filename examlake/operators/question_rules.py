@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examlake.functions import rules
-from examlake.functions.text import collapse, compact
+from examlake.functions.text import collapse, compact, word_count
 
 ISSUE = "array<struct<code:string,severity:string,field:string>>"
 #: Severities from worst, and what an issue of each takes off a question's and a paper's score.
@@ -65,7 +65,7 @@ def label_only(text: Column) -> Column:
     return (bare == "") | (bare.rlike(r"^[0-9a-zA-Z]{1,2}\z") & (F.char_length(text) != F.char_length(bare)))
 
 
-def _per_option(options: Column, rule: Callable[[Column, Column], Column]) -> Column:
+def per_option(options: Column, rule: Callable[[Column, Column], Column]) -> Column:
     """The issues of a rule of (text, place) over all options with a text."""
     found = F.transform(_texts(options), lambda t, i: F.when(t != "", rule(t, i)))
     return F.flatten(F.filter(found, lambda x: x.isNotNull()))
@@ -97,8 +97,8 @@ def option_issues(options: Column, expected: Column | None = None, least: int =
         when(n == 0, "no_options", "critical", "options"),
         when((n > 0) & (n < least), "too_few_options", "critical", "options"),
         F.flatten(F.transform(texts, lambda t, i: when((t == "") & (i < n), "option_empty", "critical", at(i)))),
-        F.when((n >= 2) & (labels == n), F.array().cast(ISSUE)).otherwise(_per_option(options, lambda t, i: when(label_only(t), "option_label_only", "critical", at(i)))),
-        _per_option(options, lambda t, i: when(F.array_position(keys, F.lower(collapse(t))) <= i, "option_duplicate", "critical", at(i))),
+        F.when((n >= 2) & (labels == n), F.array().cast(ISSUE)).otherwise(per_option(options, lambda t, i: when(label_only(t), "option_label_only", "critical", at(i)))),
+        per_option(options, lambda t, i: when(F.array_position(keys, F.lower(collapse(t))) <= i, "option_duplicate", "critical", at(i))),
         when((F.size(lengths) >= 3) & (F.size(far) > 0), "option_length_outlier", "major", F.coalesce(at(F.get(far, F.lit(0))), F.lit(""))),
     ]
     if expected is not None:
@@ -141,9 +141,9 @@ def corruption_issues(text: Column, field: Column | str, severity: str) -> Colum
 def option_text_issues(options: Column) -> Column:
     """Corruption, absorbed neighbours and absorbed questions in options."""
     return F.concat(
-        _per_option(options, lambda t, i: corruption_issues(t, at(i), "critical")),
-        _per_option(options, lambda t, i: when(rules.foreign_content(t).isNotNull(), "foreign_content", "critical", at(i))),
-        _per_option(options, lambda t, i: when(rules.second_question(t).isNotNull(), "embedded_question", "critical", at(i))),
+        per_option(options, lambda t, i: corruption_issues(t, at(i), "critical")),
+        per_option(options, lambda t, i: when(rules.foreign_content(t).isNotNull(), "foreign_content", "critical", at(i))),
+        per_option(options, lambda t, i: when(rules.second_question(t).isNotNull(), "embedded_question", "critical", at(i))),
     )
 
 
@@ -157,6 +157,49 @@ def reference_issues(stem: Column, options: Column, passage: Column) -> Column:
     )
 
 
+#: What a parser's own findings weigh; all others are major.
+LIFTED = {"unreadable_source": "critical", "no_options": "critical", "context_capped": "minor"}
+
+
+def lifted(found: Column) -> Column:
+    """The parser's codes as issues of the whole question."""
+    weight = lambda c: F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in LIFTED.items()), F.lit("major"))
+    return F.transform(found, lambda c: F.struct(c.alias("code"), weight(c).alias("severity"), F.lit("").alias("field")))
+
+
+def validated(q: DataFrame, expected: int = 0, least_confidence: float = 0.7, unsorted: str = "unsorted", model_expected: bool = False) -> DataFrame:
+    """Add ``issues``, those of all question rules, deduplicated.
+
+    Columns read: ``type, stem, options, answer, explanation, passage, trailing,
+    subject, confidence, parser_issues, model_reviewed``; any may be null.
+    Without a type a question is objective; 0 options expected means any number.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    options = F.coalesce("options", F.array().cast(q.schema["options"].dataType))
+    objective = ~F.coalesce(F.col("type"), F.lit("")).isin("descriptive", "numeric")
+    structure = lambda x: x["code"].isin("no_options", "too_few_options", "option_count_mismatch")
+    choices = F.filter(option_issues(options, F.lit(expected)), lambda x: objective | ~structure(x))
+    read = F.col("type") == "comprehension"
+    found = F.concat(
+        stem_issues(F.col("stem")),
+        choices,
+        answer_issues(options, F.col("answer"), F.col("explanation"), ~objective | F.coalesce(F.col("type") == "multi_select", F.lit(False))),
+        corruption_issues(text("stem"), "stem", "critical"),
+        corruption_issues(text("explanation"), "explanation", "major"),
+        corruption_issues(text("passage"), "passage", "critical"),
+        option_text_issues(options),
+        when(text("trailing") != "", "trailing_text", "major"),
+        reference_issues(F.col("stem"), options, F.col("passage")),
+        when(F.lower("subject") == unsorted, "unclassified_subject", "major", "subject"),
+        when((F.col("confidence") > 0) & (F.col("confidence") < least_confidence), "low_extraction_confidence", "major"),
+        F.coalesce(lifted(F.col("parser_issues")), F.array().cast(ISSUE)),
+        when(read & (text("passage") == ""), "passage_missing", "critical", "passage"),
+        when(read & (text("passage") != "") & (word_count(text("passage")) < 30), "passage_too_short", "major", "passage"),
+        when(F.lit(model_expected) & ~F.coalesce(F.col("model_reviewed"), F.lit(False)), "model_review_not_run", "minor"),
+    )
+    return q.withColumn("found", found).withColumn("issues", deduped(F.col("found"))).drop("found")
+
+
 def deduped(issues: Column) -> Column:
     """One issue for each code and field, the worst, at the place of the first."""
     rank = lambda x: F.array_position(F.array(*map(F.lit, SEVERITIES)), x["severity"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from examlake.functions import rules, text
@@ -192,22 +192,36 @@ _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{Nd}}]+'), la
 
 
 @query(f"""with t as (select conv_id, turn, role, {_TOKENS.format("coalesce(text, '')")} as ws, {_COLLAPSE.format("text")} as c from conversations),
-s as (select *, flatten(list(ws) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)) as src from t)
+s as (select *, coalesce(flatten(list(ws) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)), []) as src from t),
+g as (select *, len(list_filter(range(1, len(src) + 1), lambda p: src[p] = ws[1] and list_reduce(list_transform(ws[2:], lambda w: {{'w': w, 'pos': 0::bigint, 'gaps': 0::bigint}}), lambda a, x:
+    {{'w': x.w, 'pos': case when a.pos > 0 and coalesce(list_position(src[a.pos + 1:a.pos + 1 + a.gaps], x.w), 0) > 0 then a.pos + list_position(src[a.pos + 1:a.pos + 1 + a.gaps], x.w) else 0 end,
+      'gaps': a.gaps - coalesce(list_position(src[a.pos + 1:a.pos + 1 + a.gaps], x.w), 1) + 1}}, {{'w': '', 'pos': p::bigint, 'gaps': (len(ws) // 3 + 2)::bigint}}).pos > 0)) > 0 as in_order from s where role = 'assistant')
 select conv_id, turn, cast(len(ws) as bigint) as n_tokens,
-    case when len(ws) = 0 then true when coalesce(len(src), 0) = 0 then false when len(ws) <= 2 then len(list_filter(ws, lambda w: not list_contains(src, w))) = 0
-        else contains(' ' || array_to_string(src, ' ') || ' ', ' ' || array_to_string(ws, ' ') || ' ') end as grounded,
-    case when len(ws) = 0 then 1.0 else round(len(list_filter(ws, lambda w: list_contains(coalesce(src, []), w))) / len(ws), 6) end as coverage,
+    case when len(ws) = 0 then true when len(src) = 0 then false when len(ws) <= 2 then len(list_filter(ws, lambda w: not list_contains(src, w))) = 0
+        else contains(' ' || array_to_string(src, ' ') || ' ', ' ' || array_to_string(ws, ' ') || ' ') or in_order end as grounded,
+    case when len(ws) = 0 then 1.0 else round(len(list_filter(ws, lambda w: list_contains(src, w))) / len(ws), 6) end as coverage,
     case when length(c) > 160 then left(c, 159) || '…' else c end as evidence
-from s where role = 'assistant'""")
+from g""")
 def grounding_of_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an assistant's words stand, in one run, in what was said before, and what share of them does."""
+    """Whether an assistant's words stand in what was said before, in one run or in order with few gaps, and what share of them does.
+
+    A conversation's words are gathered once; each reply reads those before it.
+    """
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.tokens(F.coalesce("text", F.lit(""))).alias("ws"), text.shortened(F.col("text"), 160).alias("evidence"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    s = said.withColumn("src", F.flatten(F.collect_list("ws").over(before))).where("role = 'assistant'")
-    known = F.size(F.filter("ws", lambda w: F.array_contains("src", w)))
-    run = F.contains(F.concat(F.lit(" "), F.array_join("src", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")))
-    grounded = F.when(F.size("ws") == 0, True).when(F.size("src") == 0, False).when(F.size("ws") <= 2, known == F.size("ws")).otherwise(run)
-    return s.select("conv_id", "turn", F.size("ws").cast("long").alias("n_tokens"), grounded.alias("grounded"), F.when(F.size("ws") == 0, 1.0).otherwise(F.round(known / F.size("ws"), 6)).alias("coverage"), "evidence")
+    turns = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "ws", "evidence"))).alias("turns"))
+    start = F.struct(F.lit(0).alias("before"), F.array().cast("array<struct<before:int,turn:bigint,ws:array<string>,evidence:string>>").alias("replies"))
+
+    def step(a: Column, t: Column) -> Column:
+        reply = F.struct(a["before"].alias("before"), t["turn"].alias("turn"), t["ws"].alias("ws"), t["evidence"].alias("evidence"))
+        return F.struct((a["before"] + F.size(t["ws"])).alias("before"), F.when(t["role"] == "assistant", F.array_append(a["replies"], reply)).otherwise(a["replies"]).alias("replies"))
+
+    gathered = turns.select("conv_id", F.flatten(F.col("turns")["ws"]).alias("all"), F.aggregate("turns", start, step)["replies"].alias("replies"))
+
+    def judged(r: Column) -> Column:
+        src = F.slice("all", F.lit(1), r["before"])
+        return F.struct(r["turn"].alias("turn"), F.size(r["ws"]).cast("long").alias("n_tokens"), text.grounded(src, r["ws"]).alias("grounded"), F.round(text.coverage(src, r["ws"]), 6).alias("coverage"), r["evidence"].alias("evidence"))
+
+    return gathered.select("conv_id", F.inline(F.transform("replies", judged)))
 
 
 @query(r"""with r as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as raw_no from documents),

@@ -37,7 +37,7 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOXES = """boxes as (
-    select l_suppkey as page, l_orderkey as row_id, case when l_linenumber <= 3 then l_quantity * 0.9 else 60 + l_quantity * 0.8 end as x0, l_tax * 10 as width, -(l_orderkey % 997) as top, l_linenumber <= 3 as is_left, l_returnflag = 'R' and l_linestatus = 'O' as crosses
+    select l_suppkey as page, l_orderkey as row_id, case when l_linenumber <= 3 then l_quantity * 0.9 else 60 + l_quantity * 0.8 end as x0, 10 + l_tax * 10 as width, -(l_orderkey % 997) as top, l_linenumber <= 3 as is_left, l_returnflag = 'R' and l_linestatus = 'O' as crosses
     from lineitem
 )"""
 
@@ -48,7 +48,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("page"),
         F.col("l_orderkey").alias("row_id"),
         F.when(F.col("l_linenumber") <= 3, F.col("l_quantity") * 0.9).otherwise(60 + F.col("l_quantity") * 0.8).alias("x0"),
-        (F.col("l_tax") * 10).alias("width"),
+        (10 + F.col("l_tax") * 10).alias("width"),
         (-(F.col("l_orderkey") % 997)).alias("top"),
         (F.col("l_linenumber") <= 3).alias("is_left"),
         ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).alias("crosses"),
@@ -58,7 +58,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_BOXES}, b as (select page, row_id, unnest(range(least(greatest(floor(x0 / 110 * 240), 0), 239)::int, least(greatest(floor((x0 + width) / 110 * 240), 0), 239)::int + 1)) as bin from boxes),
 d as (select distinct page, row_id, bin from b), n as (select page, bin, count(*) as rows_ from d group by all), r as (select page, count(distinct row_id) as all_rows, min(bin) as l, max(bin) as r from d group by page),
 e as (select page, all_rows, unnest(range(l, r + 1)) as bin from r), f as (select e.page, e.bin from e left join n on n.page = e.page and n.bin = e.bin where coalesce(rows_, 0) < greatest(1.0, 0.06 * all_rows)),
-i as (select page, bin, bin - row_number() over (partition by page order by bin) as island from f), g as (select page, min(bin) as from_bin, max(bin) as to_bin, count(*) as n from i group by page, island having count(*) >= 0.012 * 240)
+i as (select page, bin, bin - row_number() over (partition by page order by bin) as island from f), w as (select page, min(bin) as from_bin, max(bin) as to_bin, count(*) as n from i group by page, island),
+g as (select w.* from w join r on w.page = r.page where from_bin > r.l and n >= case when to_bin = r.r then 3 else 2 end)
 select page, cast(from_bin as int) as from_bin, cast(to_bin as int) as to_bin, n from g qualify row_number() over (partition by page order by n desc, from_bin) <= 4""")
 def column_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty vertical bands of each page."""
@@ -74,22 +75,52 @@ def page_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bands(rows, "page", "top", "crosses").groupBy("page", F.col("band").cast("long").alias("band")).agg(F.count("*").alias("rows_in_band"), F.sum("n").alias("boxes"))
 
 
+_GUTTERS = f"""{_BOXES}, b as (select page, row_id, unnest(range(least(greatest(floor(x0 / 110 * 240), 0), 239)::int, least(greatest(floor((x0 + width) / 110 * 240), 0), 239)::int + 1)) as bin from boxes),
+d as (select distinct page, row_id, bin from b), n as (select page, bin, count(*) as rows_ from d group by all), r as (select page, count(distinct row_id) as all_rows, min(bin) as l, max(bin) as r from d group by page),
+e as (select page, all_rows, unnest(range(l, r + 1)) as bin from r), f as (select e.page, e.bin from e left join n on n.page = e.page and n.bin = e.bin where coalesce(rows_, 0) < greatest(1.0, 0.06 * all_rows)),
+i as (select page, bin, bin - row_number() over (partition by page order by bin) as island from f), w as (select page, min(bin) as from_bin, max(bin) as to_bin, count(*) as n from i group by page, island),
+g as (select w.* from w join r on w.page = r.page where from_bin > r.l and n >= case when to_bin = r.r then 3 else 2 end qualify row_number() over (partition by w.page order by n desc, from_bin) <= 4)"""
+
+
+@query(f"""with {_GUTTERS}, ink as (select page, min(x0) as a, max(x0 + width) as z, count(*) as all_ from boxes group by page),
+edges as (select page, a as left_ from ink union all select page, (to_bin + 1) * 110.0::double / 240 from g), ends as (select page, z as right_ from ink union all select page, from_bin * 110.0::double / 240 from g),
+le as (select *, row_number() over (partition by page order by left_) as k from edges), re as (select *, row_number() over (partition by page order by right_) as k from ends),
+wide as (select page, left_, right_ from le join re using (page, k) where right_ - left_ > 0.04 * 110), bounds as (select * from wide union all select page, a, z from ink where page not in (select page from wide)),
+held as (select x.page, row_id, x0, b.left_, b.right_, greatest(b.left_ - (x0 + x0 + width) / 2, (x0 + x0 + width) / 2 - b.right_, 0.0) as off, x.rid from (select *, row_number() over () as rid from boxes) x join bounds b on x.page = b.page),
+best as (select page, left_, right_ from held qualify row_number() over (partition by rid order by off, left_) = 1), c as (select page, left_, right_, count(*) as n from best group by all)
+select c.page, cast(row_number() over (partition by c.page order by left_) - 1 as int) as "column", round(left_, 4) as left_edge, round(right_, 4) as right_edge, n as glyphs from c join ink using (page) where n >= 0.04 * all_""")
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of each page and the boxes in them."""
+    found = G.columns(boxes(spark, sf_dir).withColumn("x1", F.col("x0") + F.col("width")), "page", "row_id", "x0", "x1", F.lit(110.0))
+    return found.select("page", "column", F.round("left", 4).alias("left_edge"), F.round("right", 4).alias("right_edge"), "glyphs")
+
+
 @query(f"""with {_BOXES}, l as (select page, is_left, top, cast(min(row_id) as varchar) as text from boxes group by all), g as (select *, top - lead(top) over (partition by page, is_left order by top desc) as gap from l),
-p as (select page, median(gap) as pitch from g group by page)
-select page, count(*) filter (gap < 0.6 * pitch and length(text) <= 12 and 2 * len(regexp_extract_all(text, '[0-9]')) >= length(text)) as stacked, count(*) as lines from g join p using (page) group by page""")
+p as (select page, is_left, median(gap) filter (gap > 0 and gap < 100) as pitch from g group by all having count(*) >= 4 and count(*) filter (gap > 0 and gap < 100) >= 3)
+select g.page, count(*) filter (gap > 0 and gap < 0.6 * pitch and length(text) <= 24 and text similar to '.*[0-9].*' and 2 * len(regexp_extract_all(text, '[0-9]')) >= length(replace(text, ' ', ''))) as stacked, count(*) as lines
+from g left join p on g.page = p.page and g.is_left = p.is_left group by g.page""")
 def stacked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that follow closer than the page's pitch."""
     lines = boxes(spark, sf_dir).groupBy("page", "is_left", "top").agg(F.min("row_id").cast("string").alias("text"))
     return G.stacked(lines, "page", "is_left", "top", "text")
 
 
-@query("""with s as (select source, doc_id, length(coalesce(text, '')) as n, len(regexp_extract_all(coalesce(text, ''), chr(65533))) as bad from documents),
-p as (select source, count(*) as pages, count(*) filter (n = 0) as empty, count(*) filter (n > 0 and n < 120) as thin, sum(bad) as bad, sum(n) as chars from s group by source)
-select source, pages, empty, thin, round(greatest(0.0, least(1.0, 1.0 - 0.6 * empty / pages - 0.3 * thin / pages - least(0.5, 20.0 * bad / greatest(chars, 1)))), 6) as confidence from p""")
+@query(r"""with s as (select source, doc_id, length(coalesce(text, '')) as n, len(regexp_extract_all(coalesce(text, ''), '[\x{FFFD}\x{E000}-\x{F8FF}]')) as bad,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f]')) as ls from documents),
+p as (select source, count(*) as pages, count(*) filter (n = 0) as empty, count(*) filter (n > 0 and len(ls) = 0) as unstructured, count(*) filter (n > 0 and len(ls) < 5) as thin, sum(bad) as bad, sum(n) as chars,
+    sum(len(list_filter(ls, lambda x: length(x) <= 24 and regexp_matches(x, '[0-9]') and 2 * len(regexp_extract_all(x, '[0-9]')) >= length(replace(x, ' ', ''))))) as stacked from s group by source)
+select source, pages, empty, unstructured, thin, cast(bad as bigint) as unreadable, cast(stacked as bigint) as stacked,
+    round(greatest(0.0, least(1.0, 1.0 - 0.9 * empty / pages - 0.5 * unstructured / pages - coalesce(0.3 * thin / nullif(pages - empty, 0), 0.0) - case when bad / nullif(chars, 0) > 0.001 then least(0.4, 20 * bad / chars) else 0.0 end - least(0.1, stacked / 400))), 6) as confidence from p""")
 def source_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence of a source from empty and thin pages and unreadable characters."""
+    """Confidence of a source, with its documents as pages: empty, unstructured and thin ones, unreadable characters and rows that are mostly digits."""
     t = F.coalesce("text", F.lit(""))
-    s = table(spark, sf_dir, "documents").select("source", F.char_length(t).alias("n"), F.regexp_count(t, F.lit("�")).alias("bad"))
-    p = s.groupBy("source").agg(F.count("*").alias("pages"), F.count_if(F.expr("n = 0")).alias("empty"), F.count_if(F.expr("n > 0 and n < 120")).alias("thin"), F.sum("bad").alias("bad"), F.sum("n").alias("chars"))
-    value = 1.0 - 0.6 * F.col("empty") / F.col("pages") - 0.3 * F.col("thin") / F.col("pages") - F.least(F.lit(0.5), 20.0 * F.col("bad") / F.greatest("chars", F.lit(1)))
-    return p.select("source", "pages", "empty", "thin", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6).alias("confidence"))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^ \t\r\f]"))
+    digits = lambda x: F.regexp_count(x, F.lit("[0-9]"))
+    numeric = F.size(F.filter(lines, lambda x: (F.char_length(x) <= 24) & (digits(x) > 0) & (2 * digits(x) >= F.char_length(F.replace(x, F.lit(" "))))))
+    s = table(spark, sf_dir, "documents").select("source", F.char_length(t).alias("n"), F.size(lines).alias("ls"), numeric.alias("numeric"), F.regexp_count(t, F.lit(r"[\x{FFFD}\x{E000}-\x{F8FF}]")).alias("bad"))
+    p = s.groupBy("source").agg(
+        F.count("*").alias("pages"), F.count_if(F.expr("n = 0")).alias("empty"), F.count_if(F.expr("n > 0 and ls = 0")).alias("unstructured"), F.count_if(F.expr("n > 0 and ls < 5")).alias("thin"),
+        F.sum("bad").alias("unreadable"), F.sum("n").alias("chars"), F.sum("numeric").alias("stacked"),
+    )
+    value = G.confidence(*(F.col(c) for c in ("pages", "empty", "unstructured", "thin", "chars", "unreadable", "stacked")))
+    return p.select("source", "pages", "empty", "unstructured", "thin", "unreadable", "stacked", F.round(value, 6).alias("confidence"))

@@ -106,3 +106,59 @@ def paper_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.select("paper_id", "items", critical.cast("long").alias("critical"), (F.col("penalties") > 1).cast("long").alias("major"))
     verdict = F.when(F.col("critical") > 0, "failed").when(F.col("major") > 0, "review").otherwise("pass")
     return p.select("*", verdict.alias("verdict"), (verdict == "pass").alias("publishable"), F.round(W.score(F.col("critical"), F.col("major"), F.lit(0), F.col("items")), 6).alias("score"))
+
+
+_PAPERS = """pa as (
+    select o_orderkey as paper, 4 as questions, 1 as tolerance, o_totalprice as header_marks, o_orderkey % 3 * 0.05::double as header_negative, cast(o_orderkey % 4 * 30 as int) as minutes,
+        case when o_orderpriority[1] = '1' then 60 else 0 end as expected_minutes, o_orderstatus <> 'P' as rated, o_orderstatus = 'O' as model_expected, o_orderkey % 5 = 0 as model_ran from orders
+), it as (
+    select l_orderkey as paper, l_linenumber as sequence, l_returnflag as section, p_type as subject, l_partkey as question_id, p_name as stem, case when l_discount > 0.08 then 'comprehension' end as type,
+        case when p_size <= 15 then 'easy' when p_size <= 35 then 'medium' else 'hard' end as difficulty, case when l_tax > 0.06 then 'failed' when l_linestatus = 'F' then 'pass' else 'review' end as quality,
+        l_linestatus = 'F' or l_returnflag = 'A' as has_answer, l_quantity as marks, l_discount as negative from lineitem join part on l_partkey = p_partkey
+)"""
+
+
+@query(f"""with {_PAPERS}, n as (select paper, count(*) as n, sum(marks) as marks, count(distinct negative) as penalties, count(*) filter (difficulty = 'easy') as easy, count(*) filter (difficulty = 'medium') as medium,
+    count(*) filter (difficulty = 'hard') as hard from it group by paper), t as (select pa.*, coalesce(n, 0) as n, marks, penalties, easy, medium, hard from pa left join n using (paper)),
+placed as (select *, row_number() over (partition by paper order by sequence, question_id) as place from it), key as (select *, regexp_replace(lower(stem), '[^a-z0-9]', '', 'g') as k from placed),
+sec as (select t.paper, s.section, 2 as want, tolerance from t, (values ('R'), ('N')) s(section) where n > 0), cnt as (select paper, section, count(*) as got from it group by all),
+every as (
+    select paper, 'paper_empty' as code, 'critical' as severity, '' as field from t where n = 0
+    union all select paper, 'paper_question_count_mismatch', case when n = 3 then 'major' else 'critical' end, '' from t where n > 0 and n <> 4
+    union all select paper, 'paper_marks_mismatch', 'critical', '' from t where n > 0 and abs(header_marks - marks) > 0.01
+    union all select paper, 'paper_negative_marks_wrong', 'major', '' from t where n > 0 and penalties > 1
+    union all select paper, 'paper_negative_marks_wrong', 'critical', '' from t where n > 0 and header_negative <= 0
+    union all select paper, 'paper_duration_missing', case when expected_minutes > 0 then 'critical' else 'major' end, '' from t where n > 0 and minutes <= 0
+    union all select paper, 'paper_duration_missing', 'major', '' from t where n > 0 and minutes > 0 and expected_minutes > 0 and minutes <> expected_minutes
+    union all select paper, 'paper_difficulty_unrated', 'major', '' from t where n > 0 and not rated
+    union all select paper, 'paper_difficulty_distribution_off', 'major', '' from t where n > 0 and rated and (abs(easy * 100 // n - 30) > 15 or abs(medium * 100 // n - 45) > 15 or abs(hard * 100 // n - 25) > 15)
+    union all select paper, 'model_review_not_run', 'major', '' from t where n > 0 and model_expected and not model_ran
+    union all select paper, case when coalesce(got, 0) = 0 then 'paper_section_missing' else 'paper_section_count_mismatch' end, case when coalesce(got, 0) = 0 or want - got > tolerance or got > want then 'critical' else 'major' end, 'section:' || section
+        from sec left join cnt using (paper, section) where coalesce(got, 0) <> want
+    union all select paper, 'paper_subject_distribution_off', 'major', 'section:' || section from it group by paper, section having count(distinct subject) > 1
+    union all select paper, 'paper_duplicate_question', 'critical', 'q' || sequence from placed qualify row_number() over (partition by paper, question_id order by place) > 1
+    union all select paper, 'paper_repeated_stem', 'critical', 'q' || sequence from key where k <> '' qualify row_number() over (partition by paper, k order by place) > 1
+    union all select paper, case quality when 'failed' then 'paper_failed_question' else 'paper_unvetted_question' end, 'critical', 'q' || sequence from it where quality <> 'pass'
+    union all select paper, 'paper_missing_answer', 'critical', 'q' || sequence from it where not has_answer
+    union all select paper, 'paper_broken_passage', 'critical', 'q' || sequence from it where type = 'comprehension'
+    union all select paper, 'paper_sequence_gap', 'major', 'q' || min_by(sequence, place) from (select *, row_number() over (partition by paper order by sequence) as place from it) where sequence <> place group by paper
+)
+select paper, code, case when bool_or(severity = 'critical') then 'critical' else 'major' end as severity, field from every group by paper, code, field""")
+def paper_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W00 with W01 to W17 and W20, W21: every paper validated as a whole, with orders as papers and their lines as items."""
+    o = table(spark, sf_dir, "orders")
+    papers = o.select(
+        F.col("o_orderkey").alias("paper"), F.lit(4).alias("questions"), F.lit(1).alias("tolerance"), F.lit(None).cast("double").alias("expected_marks"), F.col("o_totalprice").alias("header_marks"), F.lit(0.05).alias("expected_negative"),
+        (F.col("o_orderkey") % 3 * 0.05).alias("header_negative"), (F.col("o_orderkey") % 4 * 30).cast("int").alias("minutes"), F.when(F.col("o_orderpriority").startswith("1"), 60).otherwise(0).alias("expected_minutes"),
+        F.struct(F.lit(30).alias("easy"), F.lit(45).alias("medium"), F.lit(25).alias("hard")).alias("want"), (F.col("o_orderstatus") != "P").alias("rated"), (F.col("o_orderstatus") == "O").alias("model_expected"), (F.col("o_orderkey") % 5 == 0).alias("model_ran"),
+    )
+    met = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    none = F.lit(None).cast("string")
+    items = met.select(
+        F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("sequence"), F.col("l_returnflag").alias("section"), F.col("p_type").alias("subject"), F.col("l_partkey").alias("question_id"), F.col("p_name").alias("stem"),
+        F.lit(None).cast("array<struct<text:string,is_correct:boolean>>").alias("options"), none.alias("answer"), none.alias("explanation"), F.lit(None).cast("long").alias("passage_id"), none.alias("passage"),
+        F.when(F.col("l_discount") > 0.08, "comprehension").alias("type"), F.when(F.col("p_size") <= 15, "easy").when(F.col("p_size") <= 35, "medium").otherwise("hard").alias("difficulty"),
+        F.when(F.col("l_tax") > 0.06, "failed").when(F.col("l_linestatus") == "F", "pass").otherwise("review").alias("quality"), ((F.col("l_linestatus") == "F") | (F.col("l_returnflag") == "A")).alias("has_answer"), F.col("l_quantity").alias("marks"), F.col("l_discount").alias("negative"),
+    )
+    sections = papers.select("paper", F.explode(F.array(F.lit("R"), F.lit("N"))).alias("section"), F.lit(2).alias("want"))
+    return W.validated(papers, items, sections)

@@ -50,13 +50,13 @@ def pattern_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.mode_larger_wins(observed(spark, sf_dir), ["exam_id"], "n")
 
 
-@query(f"""with {_OBSERVED}, s as (select exam_id, sum(agreement * questions) / sum(questions) as section_score from drafts group by exam_id),
+@query(f"""with {_OBSERVED}, s as (select exam_id, sum(agreement * questions) / sum(questions) as section_score, count(*) filter (section in ('PROMO', 'LARGE')) / count(*) as unmatched from drafts group by exam_id),
 totals as (select exam_id, paper_id, sum(n) as total from observed group by all), t as (select exam_id, count(*) as papers, avg(total) as mean, stddev_pop(total) as deviation from totals group by exam_id)
-select exam_id, round(greatest(0.05, least(0.99, 0.55 * section_score + 0.25 * case when papers > 1 then greatest(0.0, 1 - deviation / mean) else 1.0 end + 0.20 * least(1.0, 0.45 + 0.14 * papers))), 2) as confidence from s join t using (exam_id)""")
+select exam_id, round(greatest(0.05, least(0.99, (0.55 * section_score + 0.25 * case when papers > 1 then greatest(0.0, 1 - deviation / mean) else 1.0 end + 0.20 * least(1.0, 0.45 + 0.14 * papers)) * (1 - 0.35 * unmatched))), 2) as confidence from s join t using (exam_id)""")
 def pattern_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each exam's pattern can be trusted."""
+    """How far each exam's pattern can be trusted; two part types stand for sections without a subject."""
     totals = observed(spark, sf_dir).groupBy("exam_id", "paper_id").agg(F.sum("n").alias("total"))
-    return A.confidence(drafts(spark, sf_dir), totals, "exam_id", "total")
+    return A.confidence(drafts(spark, sf_dir), totals, "exam_id", "total", ~F.col("section").isin("PROMO", "LARGE"))
 
 
 @query(f"""with {_OBSERVED}, totals as (select exam_id, paper_id, sum(n) as total from observed group by all), m as (select exam_id, median(total) as usual from totals group by exam_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,22 @@ def extension(name: Column) -> Column:
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 or UTF-16 by their mark, UTF-8 without one; a run of bad bytes is one U+FFFD; line ends are line feeds."""
     head2, head3 = F.hex(F.substring(content, 1, 2)), F.hex(F.substring(content, 1, 3))
-    utf8 = F.regexp_replace(F.make_valid_utf8(F.when(head3 == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content).cast("string")), "�+", "�")
+    raw = F.when(head3 == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content).cast("string")
+    utf8 = F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), "�+", "�"))
     text = F.when(head2.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).otherwise(utf8)
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file under ``path``, columns as in UPLOADS; files beyond MOST_BYTES keep their row without content."""
-    files = spark.read.format("binaryFile").load(path)
+    """One row per file under ``path``, columns as in UPLOADS; files beyond MOST_BYTES keep their row without content.
+
+    The reader passes over files without a byte, so those come from its listing.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").withColumn("at", plain)
+    empty = listed.join(files.select(plain.alias("at")), "at", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    files = files.union(empty)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     content = F.when(F.col("length") <= MOST_BYTES, F.col("content"))
     return files.select(name.alias("name"), extension(name).alias("extension"), title_of_file(name).alias("title"), F.col("length").alias("size_bytes"), F.sha2(content, 256).alias("digest"), content.alias("content"))

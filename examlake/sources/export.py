@@ -22,12 +22,13 @@ def markdown(items: DataFrame, paper: str, order: str, section: str, stem: str,
     """``paper, text``: every paper as one markdown text, its sections headed where they begin, its key behind the questions.
 
     ``options`` is an array of structs with ``label``, ``text`` and
-    ``is_correct``.  A paper's text is as long as the paper.
+    ``is_correct``; a question without any keeps its place.  A paper's text is
+    as long as the paper.
     """
     w = Window.partitionBy(paper).orderBy(order)
     starts = F.row_number().over(w) == 1
     opened = F.when(starts | ~F.col(section).eqNullSafe(F.lag(section).over(w)), F.concat(F.lit("\n## "), F.coalesce(F.col(section), F.lit("Section")), F.lit("\n\n"))).otherwise("")
-    listed = F.array_join(F.transform(options, lambda o: F.concat(F.lit("("), F.coalesce(o["label"], F.lit("")), F.lit(") "), F.coalesce(o["text"], F.lit("")))), "\n")
+    listed = F.coalesce(F.array_join(F.transform(options, lambda o: F.concat(F.lit("("), F.coalesce(o["label"], F.lit("")), F.lit(") "), F.coalesce(o["text"], F.lit("")))), "\n"), F.lit(""))
     question = F.concat(F.col(order).cast("string"), F.lit(". "), F.coalesce(F.col(stem), F.lit("")), F.lit("\n"), listed, F.lit("\n"))
     right = F.array_join(F.transform(F.filter(options, lambda o: o["is_correct"]), lambda o: o["label"]), ",")
     rows = items.select(paper, F.col(order).alias("at"), F.concat(opened, question).alias("q"), F.concat_ws(". ", F.col(order).cast("string"), F.nullif(right, F.lit(""))).alias("k"))

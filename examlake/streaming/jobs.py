@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from examlake.plans.tables import kept
+
 #: Attempts after which a failing job fails for good, and how long a started job may stay silent.
 MOST_ATTEMPTS, STALE = 2, "45 minutes"
 
@@ -34,14 +36,23 @@ def stale(jobs: DataFrame, now: str) -> DataFrame:
 
 
 def claim_order(events: DataFrame, queue: str, at: str = "ts", tie: str = "event_id") -> DataFrame:
-    """``queue, place, tie``: queued entries in the order in which workers claim them."""
-    return events.withColumn("place", F.row_number().over(Window.partitionBy(queue).orderBy(at, tie)))
+    """Add ``place``: where an entry stands in its queue, in the order in which workers claim.
+
+    Entries are dealt over tasks by ranges of that order, so a queue that holds
+    most entries is no task of its own: each range counts its own entries from
+    where the ranges before it end.
+    """
+    dealt = kept(events.repartitionByRange(queue, at, tie).withColumn("part", F.spark_partition_id()), "queue-ranges")
+    earlier = Window.partitionBy(queue).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(queue, "part").agg(F.count("*").alias("n")).select(queue, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part", queue).orderBy(at, tie))
+    return dealt.withColumn("own", place).join(starts, [queue, "part"]).withColumn("place", F.col("own") + F.col("start")).drop("own", "start", "part")
 
 
 def stream_states(events: DataFrame, path: str, checkpoint: str):
-    """Keep ``states`` of an event stream as a table: every micro-batch writes the whole new state, which grows with jobs and not with events."""
+    """Start to keep ``states`` of an event stream as a table: every micro-batch writes the whole new state, which grows with jobs and not with events."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
-    return states(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return states(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).start()
