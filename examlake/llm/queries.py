@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlake.llm import bpe, decontaminate, lattice_lm, line_dedup, minhash, quality_fm, quality_rules, token_counts, toxicity, warc
-from examlake.llm.common import bucket_of, new_path
+from examlake.llm.common import bucket_of, new_path, written
 from examlake.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -68,7 +68,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to archives and read back: one row per capture."""
     path = new_path(spark, "archives")
     warc.write(table(spark, sf_dir, "pages"), path)
-    found = warc.captures(warc.read(spark, path), with_payload=False)
+    # Archives are read and their payloads checked once; what the joins need of them is written.
+    found = warc.captures(written(warc.read(spark, path).drop("payload"), "records"), with_payload=False)
     page = F.regexp_extract("metadata.fields", r"capture: (-?\d+)", 1).cast("long")
     rows = found.select(page.alias("page_id"), "id", F.coalesce("refers_to", "id").alias("first"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"))
     firsts = rows.select(F.col("id").alias("first"), F.col("page_id").alias("first_page"))

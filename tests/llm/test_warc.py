@@ -28,6 +28,18 @@ def test_round_trip(spark):
             assert bytes(r["response"]["payload"]) == want
 
 
+def test_keys_that_repeat_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILES", ((1000, 3000), (5000, 48), (1 << 62, 3)))
+    rows = [(1, "u", "a" * 1500), (1, "u", "b" * 1500), (1, "v", "a" * 1500), (2, "u", "a" * 1500), (2, "u", "a" * 1500), (3, "u", "c" * 9000), (3, "u", "short")]
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame([(k, u, h, "", "") for k, u, h in rows], SCHEMA), path)
+    got = warc.captures(warc.read(spark, path)).collect()
+    assert sorted((r["metadata"]["fields"].strip(), r["uri"], r["type"], r["payload_bytes"]) for r in got) == [
+        ("capture: 1", "u", "response", 1500), ("capture: 1", "u", "revisit", 1500), ("capture: 1", "v", "revisit", 1500),
+        ("capture: 2", "u", "response", 1500), ("capture: 3", "u", "response", 5), ("capture: 3", "u", "response", 9000),
+    ]
+
+
 def test_records_of_another_writer(spark, tmp_path):
     body = b"HTTP/1.1 200 OK\r\n\r\nhello"
     record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
