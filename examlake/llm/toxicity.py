@@ -87,9 +87,13 @@ def plain(word: str) -> str:
     return _ODD.sub("", word if word.isalpha() else word.rstrip("!?.,;:").translate(_ALIKE))
 
 
-def codes_of(word: str) -> list[int]:
+_CODES = bytes(c - 95 if 97 <= c <= 122 else 28 + c % 36 for c in range(256))
+
+
+def codes_of(word: str) -> bytes:
     """Codes below 64: 0 and 1 for the word's ends, then letters a to z, then other characters by code point."""
-    return [0, *(ord(c) - 95 if "a" <= c <= "z" else 28 + ord(c) % 36 for c in word), 1]
+    inner = word.encode().translate(_CODES) if word.isascii() else bytes(_CODES[ord(c)] if c < "{" else 28 + ord(c) % 36 for c in word)
+    return b"\0" + inner + b"\1"
 
 
 @functools.lru_cache(maxsize=2 * LONGEST + 4)
@@ -113,7 +117,7 @@ def coded(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         for part in parts_of(word):
             of = by[len(part)]
             of[0].append(at)
-            of[1].append(bytes(codes_of(part)))
+            of[1].append(codes_of(part))
     return [(np.array(at), np.frombuffer(b"".join(codes), np.uint8).reshape(len(at), -1)) for at, codes in by.values()]
 
 
@@ -161,15 +165,23 @@ class Model:
             found.update(self.phrases.intersection(f"{a} {b}" for a, b in zip(row, row[1:])))  # noqa: B905
         return found
 
+    def said(self, text: str) -> set[str]:
+        """What all sentences of a lower-cased text are scored by; only letters set apart and phrases ask where a sentence ends."""
+        found = set(text.split())
+        if self.phrases or _APART.search(text):
+            for sentence in _SENTENCE.split(text):
+                found |= self.read(sentence)
+        return found
+
     def worst(self, texts: list[str], known: dict[str, float]) -> list[float]:
         """The largest margin of any word or phrase of each text; -1 without words.  ``known`` keeps margins."""
-        found = [[self.read(s) for s in _SENTENCE.split(t.lower()) if s] for t in texts]
-        new = [x for x in set().union(*(w for s in found for w in s)) if x not in known]
+        found = [self.said(t.lower()) for t in texts]
+        every = set().union(*found)
         if len(known) > REMEMBERED:
             known.clear()
-            new = list(set().union(*(w for s in found for w in s)))
+        new = [x for x in every if x not in known]
         known.update(zip(new, self.margins([x if x in self.phrases else plain(x) for x in new]).tolist(), strict=True))
-        return [max((max(map(known.__getitem__, w)) for w in s if w), default=-1.0) for s in found]
+        return [max(map(known.__getitem__, w), default=-1.0) for w in found]
 
     def scores(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (worst - self.middle), -30, 30)))
