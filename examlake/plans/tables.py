@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row, however often later columns use them: projections above do not take their expressions in."""
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("made_once")
+    return df.select(*(c for c in df.columns if c not in columns), made).select("*", "made_once.*").drop("made_once")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a frame under spark.checkpoint.dir and read it again, so that its plan and lineage end there."""
     spark = df.sparkSession
