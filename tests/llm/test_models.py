@@ -56,6 +56,11 @@ def test_scores_against_plain_counts(spark, sf):
             for w in (t or "").encode().lower().split():
                 c[w] = c.get(w, 0) + 1
     n, v = sum(c.values()) + ends, len(c) + 1
+    pieces, model = {}, lattice_lm.vocabulary(PIECES)
+    for w, t in c.items():
+        for i in model.encode(w.decode()):
+            pieces[model.id_to_piece(i)] = pieces.get(model.id_to_piece(i), 0) + t
+    lattice = lattice_lm.Lattice(PIECES, pieces, ends)
     for head in (10, 100_000):
         out = lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, training boolean, score long"), "training", PIECES, head=head).collect()
         assert len(out) == len(rows)
@@ -63,7 +68,9 @@ def test_scores_against_plain_counts(spark, sf):
             words = (dict(docs)[r["doc_id"]] or "").encode().lower().split()
             base = sum(math.log10((x + 1) / (n + v + 1)) for x in [*(c.get(w, 0) for w in words), ends])
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words) + 1, sum(w in c for w in words) + 1, n)
-            assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
+            assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+            whole = sum(lattice.marginal(w.decode()) for w in words) + lattice.end()
+            assert abs(r["score"] - whole) < 1e-6 * max(1, abs(whole))
     seen = {r["doc_id"]: r["score"] for r in out}
     assert seen[9001] == seen[9002] > seen[9003]
     empty = spark.createDataFrame([], "doc_id long, text string, training boolean")
