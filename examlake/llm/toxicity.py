@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examlake.llm.common import map_batches, texts_of, written
-from examlake.llm.minhash import near_duplicates
+from examlake.llm.minhash import shingles
 
 #: A subsequence reaches over at most REACH characters and loses DECAY for each character that it skips.
 REACH, DECAY = 8, 0.6
@@ -38,6 +38,8 @@ LONGEST = 24
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 #: Texts of one label that share COPY percent of their 5-word shingles, chained, count as one.
 COPY = 50
+#: Least shingle hashes by which labelled texts are compared.
+SKETCH = 128
 #: Landmarks of the Nyström map, half of them witnesses and half clean words; rounds of choosing both.
 LANDMARKS, ROUNDS = 200, 5
 #: About how many toxic texts the ridge outweighs: more of them move the machine.
@@ -208,8 +210,8 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def variants(unit: str) -> list[str]:
-    """The word or phrase with a letter put in or doubled at each place within it."""
-    return [unit[:i] + c + unit[i:] for i in range(1, len(unit)) for c in ("x", unit[i])]
+    """The word or phrase with a letter put in behind each of its letters, or that letter doubled."""
+    return [unit[:i] + c + unit[i:] for i in range(1, len(unit) + 1) for c in ("x", unit[i - 1])]
 
 
 def folded(landmarks: list[str], alphas: np.ndarray) -> np.ndarray:
@@ -365,15 +367,58 @@ def calibrated(model: Model, worst: np.ndarray, toxic: np.ndarray, weight: np.nd
     return model
 
 
+def alike(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """The share of common shingles of two texts, from the sorted least hashes of each; exact for texts of at most ``size`` shingles."""
+    least = np.union1d(a, b)[:size]
+    return len(np.intersect1d(np.intersect1d(a, b, True), least, True)) / max(len(least), 1)
+
+
+def grouped(numbers: list[int], toxic: list[int], sketches: list[np.ndarray], copy: int = COPY) -> list[int]:
+    """The texts that speak for their near copies: one for each group of one label, chained over the first text that holds each hash."""
+    top, first = list(range(len(numbers))), {}
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i, sketch in enumerate(sketches):
+        for j in {first.setdefault((toxic[i], h), i) for h in sketch.tolist()} - {i}:
+            if find(i) != find(j) and 100 * alike(sketch, sketches[j]) >= copy:
+                u, v = sorted((find(i), find(j)))
+                top[v] = u
+    return [numbers[i] for i in range(len(numbers)) if find(i) == i]
+
+
+def speaking(sample: DataFrame, copy: int = COPY) -> DataFrame:
+    """``key`` of the texts of ``sample`` (key, text, toxic) that speak for their near copies, the smallest of each group.
+
+    They are found in one task: the bound on labelled documents bounds its rows.
+    """
+    kind = sample.schema["key"].dataType.simpleString()
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t)[:SKETCH].view(np.int64) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["key", "toxic", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            rows = pa.Table.from_batches(held).sort_by("key")
+            sets = [np.asarray(x, np.int64).view(np.uint64) for x in rows["sketch"].to_pylist()]
+            kept = grouped(list(range(len(sets))), rows["toxic"].to_pylist(), sets, copy)
+            yield from rows.select(["key"]).take(pa.array(kept, pa.int64())).to_batches()
+
+    return written(map_batches(sample, sketch, f"key {kind}, toxic int, sketch array<long>").repartition(1).mapInArrow(run, f"key {kind}"), "speaking")
+
+
 def labelled_units(sample: DataFrame, copy: int = COPY) -> DataFrame:
     """``unit, clean, bags`` of all units of ``sample`` (key, text, toxic): in how many clean texts each is, and the numbers of its toxic texts.
 
-    Of near copies with one label the smallest key speaks.  Phrases of fewer
-    than PHRASE_TEXTS toxic texts are left out.
+    Of near copies with one label one speaks.  Phrases of fewer than
+    PHRASE_TEXTS toxic texts are left out.
     """
-    groups = near_duplicates(sample, "key", copy).select("key", F.col("component_id").alias("group"))
-    speaks = sample.drop("text").join(groups, "key").groupBy("toxic", "group").agg(F.min("key").alias("key")).select("key", F.xxhash64("key").alias("number"))
-    rows = sample.join(F.broadcast(speaks), "key").select("number", "toxic", "text")
+    rows = sample.join(F.broadcast(speaking(sample.select("key", "text", "toxic"), copy)), "key").select(F.xxhash64("key").alias("number"), "toxic", "text")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [sorted({p for u in units_of(t.decode("utf-8", "replace")) for p in parts_of(u)}) for t in texts_of(batch)]

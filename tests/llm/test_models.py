@@ -161,6 +161,18 @@ def test_margins_are_kernel_sums_over_landmarks():
     assert np.allclose(model.margins(asked), np.maximum(want, -1), atol=1e-3)
 
 
+def test_near_copies_of_one_label_speak_once():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(4)]
+    near = [np.unique(np.r_[r.permutation(s)[:250], r.integers(0, 1 << 62, 40).astype(np.uint64)]) for s in sets]
+    for a, b in ((sets[0], near[0]), (sets[0][:50], sets[0][10:60]), (sets[1], sets[2])):
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(toxicity.alike(a[:128], b[:128]) - true) < (0.1 if len(a) > 128 else 1e-9)
+    every = [x[: toxicity.SKETCH] for x in (*sets, *near, near[0], np.empty(0, np.uint64), np.empty(0, np.uint64))]
+    labels = [1, 1, 0, 0, 1, 1, 0, 1, 0, 1, 1]
+    assert toxicity.grouped(list(range(11)), labels, every) == [0, 1, 2, 3, 7, 8, 9, 10]
+
+
 def test_phrase_of_harmless_words(spark):
     r = np.random.default_rng(6)
     vocabulary = ["".join(r.choice(list("bdfgklmnprstvaeiou"), 6)) for _ in range(800)]
