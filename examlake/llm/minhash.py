@@ -209,16 +209,16 @@ def _block_links(docs: DataFrame, reps: DataFrame, members: DataFrame, percent:
 
 def _second_links(docs: DataFrame, reps: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
     """Links to a second hub: the smallest member of each bucket that is not in its first hub's component meets the rest of them."""
-    first = apart.groupBy("bucket").agg(F.min(F.struct("node", "comp")).alias("first"))
+    first = apart.groupBy("bucket").agg(F.min(F.struct("rep", "node", "comp")).alias("first"))
     rest = apart.join(first, "bucket").where("comp <> first.comp")
-    second = rest.groupBy("bucket").agg(F.min(F.struct("node", "comp")).alias("second"))
+    second = rest.groupBy("bucket").agg(F.min(F.struct("rep", "node", "comp")).alias("second"))
     pairs = rest.join(second, "bucket").where("node <> second.node and comp <> second.comp").select(F.col("second.node").alias("hub"), "node").distinct()
     return _star_links(docs, reps, written(pairs, "second-pairs"), percent)
 
 
 def _apart(meetings: DataFrame, comps: DataFrame) -> DataFrame:
-    """(bucket, node, comp) of the buckets that lie in several components; of buckets with the same members one is enough."""
-    placed = meetings.where("members > 2").join(comps.select("node", "component"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    """(bucket, node, rep, comp) of the buckets that lie in several components; of buckets with the same members one is enough."""
+    placed = meetings.where("members > 2").join(comps.select("node", "component"), "node", "left").select("bucket", "node", "rep", F.coalesce("component", "node").alias("comp"))
     placed = written(placed.distinct(), "placed")
     found = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("lo <> hi")
     found = found.groupBy("c", "x", "first", "last").agg(F.min("bucket").alias("bucket")).select("bucket")
@@ -244,8 +244,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     classes = own.groupBy("node", "mark", "n").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands"))
     classes = written(classes, "classes")
     reps = classes.groupBy("node").agg(F.min("rep").alias("key"))
-    banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    banded = classes.select("node", "rep", "n", F.explode("bands").alias("bucket"))
+    # The smallest key is the likeliest original, to which all copies are close.
+    hubs = banded.groupBy("bucket").agg(F.min(F.struct("rep", "node"))["node"].alias("hub"), F.count("*").alias("members")).where("members > 1")
     meetings = written(banded.join(hubs, "bucket"), "meetings")
     sizes = meetings.where("node = hub").groupBy(F.col("node").alias("hub")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = meetings.where("node <> hub").groupBy("hub", "node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
