@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +28,20 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns of documents with ``row``, which names each row: its place in its file, or a number that is written where docs come from no file."""
+    try:
+        return docs.select(*COLUMNS, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("row"))
+    except AnalysisException:
+        return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component, that of the smallest doc_id; of rows that repeat it, one.
 
     Rows without a doc_id come before all others.  Rows without words are in no component and stay.
     """
-    docs = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    docs = numbered(docs)
     found = minhash.near_duplicates(docs.select(F.struct("doc_id", "row").alias("id"), "text"), "id")
     gone = found.where(~F.col("kept")).select("id.row")
     return docs.join(gone, "row", "left_anti").select(*COLUMNS)
