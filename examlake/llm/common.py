@@ -17,9 +17,11 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this session's own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where all of Spark runs on it."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if spark.conf.get("spark.master", "").partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="examlake-shared-")
