@@ -164,6 +164,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", r'<html lang="([a-z]*)"', 1).alias("lang"), count(r"<(?:p|li|td|h[1-6])[ >]").alias("blocks"), count("<tr[ >]").alias("table_rows"))
 
 
+# The corruption rules as SQL; their patterns are those of functions/rules.py in the other dialect.
 _RULE_SQL = r"""list_filter([
     case when contains(t, chr(65533)) then 'unreadable_chars' end,
     case when regexp_matches(t, '(?i)<!--[^>]*-->|\{\{[^}]*\}\}|\$\{[^}]*\}|\[(?:tbd|todo|fixme|xxx|placeholder|image|figure|diagram)\]|\b(?:lorem ipsum|todo|fixme)\b') then 'placeholder' end,

@@ -109,6 +109,7 @@ def question_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", F.inline("issues"))
 
 
+# What makes a stem a question, as SQL.
 _STEM = """(?i)\\?|\\b(?:select|choose|find|identify|which|what|who|whom|whose|when|where|why|how|arrange|rearrange|match|complete|fill|read|consider|calculate|evaluate|simplify|solve|convert|change|spot|pick|state|name|give|compute|determine|examine|compare|correct|incorrect|true|false|appropriate|suitable|meaning|synonym|antonym|value of|following|directions?)\\b|_{3,}|:\\s*$"""
 
 

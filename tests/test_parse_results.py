@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from examlake.operators import answer_keys, lines
 from examlake.operators import parse_results as P
 
 SCHEMA = "doc long, number int, stem string, options array<string>, answer int, context string, trailing string, issues array<string>"
@@ -42,3 +43,14 @@ def test_better_reading(spark):
     b = frame([(1, 9, 0.1), (2, 0, 0.0), (3, 10, 0.9), (4, 20, 0.1), (5, 10, 0.9), (6, 10, 0.9)])
     got = {r["doc"]: r["chosen"] for r in P.better(a, b, "doc").collect()}
     assert got == {1: "incumbent", 2: "candidate", 3: "candidate", 4: "incumbent", 5: "candidate", 6: "incumbent"}
+
+
+def test_regions(spark):
+    front = "\n".join(f"{n}. Which of these is item {n}?" for n in range(1, 11))
+    pairs = "1. (a)\n2. (b) 3. (c)"
+    texts = [f"{front}\n## Answer Key\n{pairs}", f"{front}\n## Answers\nfew words", f"## Answer Key\n{pairs}\n{front}", f"{front}\n## Answers\nnothing\n## Answer Key\n{pairs}\n## Solutions\n1. because", f"{front}\n## Explanations\n1. because", f"{front}\nThe answers are given below in full for you.\n{pairs}", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    got = {r["doc"]: (r["key_start"], r["solution_start"], r["question_end"]) for r in answer_keys.regions(lines.prepared(docs, "doc", "text"), "doc").collect()}
+    assert got[0] == (10, None, 10) and got[1] == (None, None, None) and got[2] == (None, None, None)
+    assert got[3] == (10, 15, 10), "pairs within reach of the first heading back it"
+    assert got[4] == (None, 10, 10) and got[5] == (None, None, None)
