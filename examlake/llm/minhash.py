@@ -222,7 +222,7 @@ def _apart(meetings: DataFrame, comps: DataFrame) -> DataFrame:
     placed = written(placed.distinct(), "placed")
     found = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("lo <> hi")
     found = found.groupBy("c", "x", "first", "last").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return placed.join(found, "bucket", "left_semi")
+    return written(placed.join(found, "bucket", "left_semi"), "apart")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
