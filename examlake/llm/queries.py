@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import bpe, decontaminate, lattice_lm, line_dedup, minhash, quality_fm, quality_rules, token_counts, toxicity, warc
+from examlake.llm import bpe, decontaminate, lattice_lm, line_dedup, minhash, prefix_trie, quality_fm, quality_rules, token_counts, toxicity, warc, whitening
 from examlake.llm.common import bucket_of, new_path, written
 from examlake.llm.sql import SQL
 
@@ -105,6 +105,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading components of the distinct ones, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
@@ -113,5 +123,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_bpe, op3_token_counts, op4_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_decontaminate, op9_lattice_lm, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_minhash, op2_bpe, op3_token_counts, op4_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_decontaminate, op9_lattice_lm, op10_toxicity, op11_prefix_trie, op12_whitening, pipeline)
 }

@@ -80,6 +80,31 @@ items as (
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
     sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join cover using (doc_id) left join items using (doc_id)""",
+    "op11_prefix_trie": r"""
+with recursive step(i, k, v) as (
+  select i, 0, i from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from step where k < 8
+), crc as (select list(v order by i) as t from step where k = 8),
+own as (
+  select conv_id, list([coalesce(role, ''), coalesce(text, '')] order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as turns
+  from conversations where conv_id is not null group by conv_id
+), headed as (
+  select conv_id, turns, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 as h
+  from own, crc
+), whole as (
+  select x.conv_id, list_concat(coalesce(b.turns, [])[1:x.h], x.turns[x.h + 1:]) as turns from headed x left join own b on b.conv_id = x.conv_id - x.conv_id % 20
+), members as (
+  select conv_id, turns, unnest(range(len(turns) + 1)) as depth from whole
+), node as (
+  select depth, turns[1:depth] as path, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(case when len(turns) = depth then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256
+  from members group by all
+), linked as (
+  select n.*, p.conv_id as parent_conv_id, (select count(*) from node k where k.depth = n.depth + 1 and k.path[1:n.depth] = n.path) as n_children,
+    case when n.depth = 0 then 0 else (n.n_convs - 1) * len(regexp_extract_all(n.path[n.depth][2], '[^\x20\x09-\x0D]+')) end as saved
+  from node n left join node p on p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]
+), up as (select *, unnest(range(depth + 1)) as above from linked),
+total as (select above as depth, path[1:above] as path, count(*) filter (where n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from up group by all)
+select l.conv_id, l.depth, l.parent_conv_id, l.n_convs, l.n_children, t.n_leaves, t.saved_tokens, l.ends_sha256 from linked l join total t using (depth, path)""",
 }
 
 SQL["op5_quality_rules"] = SQL["op5_quality_rules"].replace("@STOP@", "['" + "','".join(dict.fromkeys([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)])) + "']")
