@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes beyond which a word is hashed by BLAKE2b.
+LONG_WORD = 256
 #: Rows whose results a Python worker builds at once.
 PART = 1000
 #: ASCII space, tab, line feed, vertical tab, form feed, carriage return: what ``bytes.split()`` splits at.
@@ -113,7 +116,12 @@ LETTERS = _table(lambda i: i > 127 or chr(i).isalnum())
 
 
 def word_hashes(text: bytes, table: tuple[np.ndarray, np.ndarray] = SPACED) -> np.ndarray:
-    """A 64-bit hash of each word of the text, ASCII letters lower-cased; words are the runs of bytes inside the table."""
+    """A 64-bit hash of each word of the text, ASCII letters lower-cased; words are the runs of bytes inside the table.
+
+    Short words are hashed all at once by a polynomial modulo 2^64.  That polynomial
+    has words of a thousand letters that collide whatever its base, so longer ones
+    are hashed by BLAKE2b, one after another.
+    """
     if not text:
         return np.empty(0, np.uint64)
     lower, inside = table
@@ -127,7 +135,10 @@ def word_hashes(text: bytes, table: tuple[np.ndarray, np.ndarray] = SPACED) -> n
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((lower[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    found = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        found[i] = int.from_bytes(hashlib.blake2b(lower[raw[start[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
+    return found
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

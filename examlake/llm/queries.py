@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import bpe, decontaminate, lattice_lm, line_dedup, minhash, prefix_trie, quality_fm, quality_rules, token_counts, toxicity, warc, whitening
+from examlake.llm import bpe, decontaminate, lattice_lm, line_dedup, minhash, partenum, prefix_trie, quality_fm, quality_rules, token_counts, toxicity, warc, whitening
 from examlake.llm.common import bucket_of, new_path, written
 from examlake.llm.sql import SQL
 
@@ -115,6 +115,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document among those whose 4-word shingles agree to 85 percent."""
+    return partenum.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
@@ -123,5 +128,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_bpe, op3_token_counts, op4_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_decontaminate, op9_lattice_lm, op10_toxicity, op11_prefix_trie, op12_whitening, pipeline)
+    f.__name__: f for f in (op1_minhash, op2_bpe, op3_token_counts, op4_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_decontaminate, op9_lattice_lm, op10_toxicity, op11_prefix_trie, op12_whitening, op13_partenum, pipeline)
 }

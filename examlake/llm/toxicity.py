@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examlake.llm.common import map_batches, texts_of, written
-from examlake.llm.minhash import shingles
+from examlake.llm.linking import shingles
+from examlake.llm.minhash import WORDS
 
 #: A subsequence reaches over at most REACH characters and loses DECAY for each character that it skips.
 REACH, DECAY = 8, 0.6
@@ -399,7 +400,7 @@ def speaking(sample: DataFrame, copy: int = COPY) -> DataFrame:
     kind = sample.schema["key"].dataType.simpleString()
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t)[:SKETCH].view(np.int64) for t in texts_of(batch)]
+        found = [shingles(t, WORDS)[:SKETCH].view(np.int64) for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["key", "toxic", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from examlake.llm import minhash
+from examlake.llm import linking, minhash
 from examlake.llm.components import components
 
 SCHEMA = "doc_id long, text string, component_id long, n string"
@@ -71,8 +71,8 @@ def test_groups_whose_smallest_member_is_no_centre(spark):
 
 
 def test_blocks_of_a_bucket_miss_no_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "RUN", 3)
+    monkeypatch.setattr(linking, "BLOCK", 4)
+    monkeypatch.setattr(linking, "RUN", 3)
     test_groups_whose_smallest_member_is_no_centre(spark)
 
 
@@ -100,8 +100,8 @@ def test_keys_that_repeat_follow_their_own_text(spark):
 
 def test_second_hub_joins_what_the_first_does_not(spark, monkeypatch):
     blocks = []
-    true = minhash._block_links
-    monkeypatch.setattr(minhash, "_block_links", lambda docs, reps, members, percent: blocks.append(members.count()) or true(docs, reps, members, percent))
+    true = linking._block_links
+    monkeypatch.setattr(linking, "_block_links", lambda sets, members, percent: blocks.append(members.count()) or true(sets, members, percent))
     r = random.Random(2)
     base = words(r, 300)
     check(spark, [(i, " ".join(edited(r, base, 6))) for i in range(60)] + [(100, " ".join(base))])
