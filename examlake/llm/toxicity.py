@@ -55,6 +55,8 @@ WITHIN = -0.75
 PHRASE_TEXTS = 5
 #: One labelled text in HELD calibrates and never trains; with fewer than LEAST_HELD toxic ones the machine's own boundary stays.
 HELD, LEAST_HELD = 5, 20
+#: The score from which a text is called toxic, to which the calibration fits; what a clean text called toxic counts against a missed one, and the softness of a step in margins.
+DECIDE, FALSE_ALARM, BLUR = 0.7, 2.0, 0.05
 #: Word scores that a Python worker remembers, about 25 MB.
 REMEMBERED = 200_000
 
@@ -357,14 +359,24 @@ def learned(units: list[str], clean: np.ndarray, bags: list[list[int]], texts: t
     return model
 
 
-def calibrated(model: Model, worst: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Slope and middle of least weighted log loss, on a grid that keeps slopes finite where the labels can be told apart."""
-    best = (np.inf, 4.0, 0.0)
-    for slope in (1.0, 2.0, 3.0, 4.0, 6.0, 8.0):
-        for middle in np.linspace(-1, 1.5, 51):
-            z = np.clip(slope * (worst - middle), -30, 30) * np.where(toxic > 0, 1, -1)
-            best = min(best, (float((weight * np.log1p(np.exp(-z))).sum()), slope, float(middle)))
-    model.slope, model.middle = best[1:]
+def calibrated(model: Model, worst: np.ndarray, toxic: np.ndarray) -> Model:
+    """Slope and middle for which the score reaches DECIDE at the margin that errs least.
+
+    A missed toxic text counts once, a clean one taken for toxic FALSE_ALARM times,
+    each class by its share; steps are softened by BLUR, so among margins that
+    part the classes alike the one in the middle of the gap wins.  Of the slopes
+    the one of least log loss there is taken, both classes of equal weight.
+    """
+    sides = [worst[toxic > 0], worst[toxic == 0]]
+    rise = lambda x: 1 / (1 + np.exp(-np.clip(x / BLUR, -30, 30)))
+    cut = min(np.linspace(-1, 1.5, 251), key=lambda c: rise(c - sides[0]).mean() + FALSE_ALARM * rise(sides[1] - c).mean())
+
+    def loss(slope: float) -> float:
+        middle = cut - np.log(DECIDE / (1 - DECIDE)) / slope
+        return sum(float(np.log1p(np.exp(np.clip(sign * slope * (x - middle), -30, 30))).mean()) for sign, x in zip((-1, 1), sides, strict=True))
+
+    model.slope = min((1.0, 2.0, 3.0, 4.0, 6.0, 8.0), key=loss)
+    model.middle = float(cut - np.log(DECIDE / (1 - DECIDE)) / model.slope)
     return model
 
 
@@ -458,7 +470,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     Without both labels the model scores every text near 0.
     """
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
     met = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen[0].union(chosen[1])), "key")
     sample = written(met.groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("held", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(HELD)) == 0), "labelled")
@@ -471,9 +482,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     if not calibrates or model is NOTHING:
         return model
     worst = score(sample.where("held"), model, "key", keep=["toxic"]).select("toxic", "worst").toPandas()
-    toxic = worst["toxic"].to_numpy(np.float64)
-    weight = np.where(toxic > 0, sizes.get(1, 0) / max((toxic > 0).sum(), 1), sizes.get(0, 0) / max((toxic == 0).sum(), 1))
-    return calibrated(model, worst["worst"].to_numpy(np.float64), toxic, weight)
+    return calibrated(model, worst["worst"].to_numpy(np.float64), worst["toxic"].to_numpy(np.float64))
 
 
 _KNOWN: dict[int, dict[str, float]] = {}

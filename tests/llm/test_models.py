@@ -150,6 +150,21 @@ def test_toxicity_held_out_and_disguised(spark):
     assert got[0] < 0.3 and (got[1:] >= queries.TOXIC).all(), got.tolist()
 
 
+def test_toxicity_is_calibrated_for_the_cut(spark):
+    """Enough labels for a calibration: at the score from which a text is called toxic nine in ten are caught and one clean text in fifty is lost at most."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    y = toxicity.score(docs.join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"), model, keep=["toxic"]).toPandas()
+    said, toxic = y["score"] >= queries.TOXIC, y["toxic"] == 1
+    assert (said & toxic).sum() >= 0.9 * toxic.sum() and (said & ~toxic).sum() < 0.02 * (~toxic).sum()
+
+
+def test_calibration_takes_the_middle_of_a_gap():
+    model = toxicity.calibrated(toxicity.Model(np.zeros(1, np.float32), 0.0), np.r_[np.full(30, -0.6), np.full(20, 0.8)], np.r_[np.zeros(30), np.ones(20)])
+    cut = model.middle + np.log(0.7 / 0.3) / model.slope
+    assert abs(cut - 0.1) < 0.06 and model.scores(np.array([cut + 1e-6]))[0] >= 0.7 > model.scores(np.array([cut - 1e-3]))[0]
+
+
 def test_margins_are_kernel_sums_over_landmarks():
     r = np.random.default_rng(3)
     words = sorted({"".join(r.choice(list("abcdefgh"), 5)) for _ in range(120)})
