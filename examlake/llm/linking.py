@@ -3,8 +3,9 @@
 A bucket is whatever makes its members worth comparing.  First each member is held
 against its bucket's hub, then, where a bucket still lies in several components,
 against a second one, and at last all pairs that still lie apart are compared in
-blocks.  No pair that shares a bucket goes unchecked, and no bucket is gathered
-whole.  The sets of all members are written once and read by every comparison.
+blocks, buckets that share members in one.  No pair that shares a bucket goes
+unchecked, and no bucket is gathered whole.  The sets of all members are written
+once and read by every comparison.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from examlake.llm.components import components
 
 #: Members of a hub that one sorted run compares, and members of a block.
 RUN, BLOCK = 2000, 256
+#: Bits of the filter that keeps unwanted texts out of a shuffle.
+FILTER = 1 << 24
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -56,8 +59,8 @@ def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> Dat
     """``node, set``: the shingle sets of ``nodes``, read from the texts of their ``reps`` (node, key).
 
     Of rows that share a key only those with this very set are taken, repeats as
-    often as they come.  Texts are shuffled once; what they meet grows with the
-    corpus and is never broadcast.
+    often as they come.  Texts that may be wanted are shuffled once; what they meet
+    grows with the corpus and is never broadcast.
     """
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -66,7 +69,20 @@ def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> Dat
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"]).filter(pa.array(right, pa.bool_()))
 
     wanted = written(reps.join(nodes, "node", "left_semi"), "wanted")
-    return written(map_batches(docs.join(wanted.hint("merge"), "key").select("node", "text"), read, "node long, set binary"), "sets")
+    return written(map_batches(_perhaps(docs, wanted).join(wanted.hint("merge"), "key").select("node", "text"), read, "node long, set binary"), "sets")
+
+
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key may be among those of ``wanted``: all that are and few others, until there are about FILTER keys.
+
+    The filter is FILTER bits, at most FILTER / 32 rows of 32 bits, whatever the
+    tables; beyond about FILTER keys it lets every row through.
+    """
+    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER))
+    bits = wanted.select(F.shiftrightunsigned(bit, 5).cast("int").alias("at"), bit.alias("bit"))
+    words = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set"))
+    met = docs.withColumn("bit", bit).withColumn("at", F.shiftrightunsigned("bit", 5).cast("int")).join(F.broadcast(words), "at")
+    return met.where(F.expr("(shiftright(set, cast(bit & 31 as int)) & 1) = 1")).select(*docs.columns)
 
 
 def _with_sets(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -170,6 +186,19 @@ def _apart(meetings: DataFrame, comps: DataFrame) -> DataFrame:
     return written(placed.join(found, "bucket", "left_semi"), "apart")
 
 
+def _families(apart: DataFrame) -> DataFrame:
+    """``apart`` with buckets that reach each other through their members put together, where they have at most BLOCK members in all.
+
+    A set then comes once for its family and not once for each of its buckets;
+    members of a larger family stay in their buckets.
+    """
+    first = apart.groupBy("bucket").agg(F.min("node").alias("a"))
+    family = components(apart.join(first, "bucket").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "family")
+    small = family.groupBy("family").agg(F.count("*").alias("size")).where(f"size <= {BLOCK}").select("family")
+    placed = written(apart.select("bucket", "node", "comp").join(family.join(small.withColumn("small", F.lit(True)), "family", "left"), "node"), "families")
+    return placed.where("small").select(F.col("family").alias("bucket"), "node", "comp").distinct().union(placed.where("small is null").select("bucket", "node", "comp"))
+
+
 def link(docs: DataFrame, classes: DataFrame, meetings: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """``node, component`` of the classes that link with others.
 
@@ -185,7 +214,7 @@ def link(docs: DataFrame, classes: DataFrame, meetings: DataFrame, pairs: DataFr
         links = written(links.union(_second_links(sets, apart, percent)), "links")
         comps = components(links)
         apart = _apart(meetings, comps)
-        more = written(_block_links(sets, apart, percent), "more-links")
+        more = written(_block_links(sets, _families(apart), percent), "more-links")
         comps = components(links.union(more)) if more.take(1) else comps
     return comps
 
