@@ -186,3 +186,34 @@ def test_open_contexts_and_sections(spark):
     assert held == list(range(1, 13)) and all("context_capped" in got[0][n]["issues"] for n in held)
     assert got[1][1]["section"] == "Part A - Verbal"
     assert got[1][3]["context"] == "In the following questions pick one." and got[1][2]["context"] is None
+
+
+LETTERED = ["A train leaves at noon. When does it arrive?", "Which is next?", "Which is odd?", "B is the brother of C. Who is older?", "Which comes last?", "Which is least?"]
+
+
+def lettered(*behind):
+    body = "\n\n".join(f"{n}. {s}\n(a) one\n(b) two\n(c) three\n(d) four" for n, s in enumerate(LETTERED, 1))
+    return "\n\n".join([body, *behind])
+
+
+def test_keys_are_read_where_their_region_is(spark):
+    bare = "## Answer Key\n\n1. C\n2. C\n3. A\n4. D\n5. B\n6. B"
+    solved = "## Solutions\n\n1. Since 3 is odd, (c) is correct.\n2. Half of 48 = 24.\n1. 5 times nothing\nHence option (b).\n90. a far number\n5. Correct answer: (d)"
+    got = parse(
+        spark, lettered(bare), lettered(), lettered(solved), lettered(bare, solved), "Answers: 1. (b) 2. (a) 3. (d)\n\n" + lettered(), "1. Q\n(a) x (b) y\nAns. (a)\n2. R\n(a) x (b) y\nAns. (a)\n3. S\n(a) x (b) y\n\nAnswer Key\n1. (b) 2. (z) 3. (b) 4. (a)"
+    )
+    answers = lambda i: [got[i][n]["answer"] for n in sorted(got[i])]
+    assert answers(0) == [2, 2, 0, 3, 1, 1]
+    assert answers(1) == [None] * 6, "two stems that begin with a letter are no key"
+    assert answers(2) == [2, 1, None, None, 3, None], "a number opens a solution only if it rises, by at most 60"
+    assert got[2][2]["explanation"] == "Half of 48 = 24. 1. 5 times nothing Hence option (b). 90. a far number" and not got[2][3]["explanation"]
+    assert answers(3) == [2, 2, 0, 3, 1, 1] and got[3][5]["explanation"] == "Correct answer: (d)"
+    assert answers(4)[:4] == [1, 0, 3, 1], "a key in front counts once it covers half of the questions"
+    assert answers(5) == [1, 0, 1], "a key overrides what stands with the question, if it names one of its options"
+
+
+def test_key_documents(spark):
+    docs = [(1, "1. (a)\n2. (c)\n3-d"), (2, "Solutions\n1. Option (b) is correct as shown.\nMore of it.\n3. No verdict"), (3, None), (4, "nothing here")]
+    got = {(r["doc"], r["number"]): (r["option"], r["explanation"]) for r in answer_keys.key_documents(spark.createDataFrame(docs, "doc long, text string"), "doc", "text").collect()}
+    assert {k: v[0] for k, v in got.items() if k[0] == 1} == {(1, 1): 0, (1, 2): 2, (1, 3): 3}
+    assert got[2, 1] == (1, "Option (b) is correct as shown. More of it.") and got[2, 3] == (None, "No verdict") and not any(k[0] > 2 for k in got)
