@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.common import SPACED, gram_hashes, map_batches, texts_of, word_hashes, written
+from examlake.llm.common import SPACED, gram_hashes, map_batches, mix64, texts_of, word_hashes, written
 from examlake.llm.components import components
 
 #: Members of a hub that one sorted run compares, and members of a block.
@@ -49,6 +49,33 @@ def digest_of(elements: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def sketch_of(elements: np.ndarray) -> bytes:
+    """The parities of the elements' hash places, about four places an element: two sets differ in at least as many elements as their sketches differ in bits."""
+    size = 1 << max(9, (4 * len(elements) - 1).bit_length())
+    places = (mix64(elements) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _may_link(sizes: np.ndarray, comps: np.ndarray, sketches: list[bytes], sides: np.ndarray | None, percent: int) -> np.ndarray:
+    """Which members of a group could be similar to one of another component, and of the other side where ``sides`` parts the group, as far as sketches and sizes tell."""
+    words = [np.frombuffer(x, np.uint64) for x in sketches]
+    width = min(map(len, words))
+    for i, w in enumerate(words):
+        while len(w) > width:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        words[i] = w
+    rows = np.stack(words)
+    may = np.zeros(len(rows), bool)
+    for i in range(1, len(rows)):
+        open_ = np.flatnonzero((comps[:i] != comps[i]) & (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])) & (sides[:i] != sides[i] if sides is not None else True))
+        for begin in range(0, len(open_), 64):
+            part = open_[begin : begin + 64]
+            near = part[np.bitwise_count(rows[part] ^ rows[i]).sum(1) * (100 + percent) <= (sizes[part] + sizes[i]) * (100 - percent)]
+            if len(near):
+                may[near] = may[i] = True
+    return may
+
+
 def classes_of(signed: DataFrame, **more: F.Column) -> DataFrame:
     """``node, mark, n, rep``: texts with equal sets are one class, which its smallest key stands for; rows without a set or key are in none."""
     own = signed.where("node is not null and key is not null")
@@ -56,7 +83,7 @@ def classes_of(signed: DataFrame, **more: F.Column) -> DataFrame:
 
 
 def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, set``: the shingle sets of ``nodes``, read from the texts of their ``reps`` (node, key).
+    """``node, set, n, sketch``: the shingle sets of ``nodes``, read from the texts of their ``reps`` (node, key).
 
     Of rows that share a key only those with this very set are taken, repeats as
     often as they come.  Texts that may be wanted are shuffled once; what they meet
@@ -66,10 +93,10 @@ def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> Dat
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, words) for t in texts_of(batch)]
         right = [len(s) > 0 and digest_of(s)[0] == node for s, node in zip(sets, batch.column("node").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"]).filter(pa.array(right, pa.bool_()))
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], ["node", "set", "n", "sketch"]).filter(pa.array(right, pa.bool_()))
 
     wanted = written(reps.join(nodes, "node", "left_semi"), "wanted")
-    return written(map_batches(_perhaps(docs, wanted).join(wanted.hint("merge"), "key").select("node", "text"), read, "node long, set binary"), "sets")
+    return written(map_batches(_perhaps(docs, wanted).join(wanted.hint("merge"), "key").select("node", "text"), read, "node long, set binary, n long, sketch binary"), "sets")
 
 
 def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -90,12 +117,26 @@ def _with_sets(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return sets.join(groups.hint("merge"), "node").select("node", "set", F.inline("g"))
 
 
+def _near_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (hub, node) those that sizes and sketches leave open: full sets travel for these alone."""
+    held = sets.select("node", "n", "sketch")
+    met = pairs.join(held.hint("merge"), "node").join(held.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")).hint("merge"), "hub")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n", "hub_n", "sketch", "hub_sketch")), strict=True)
+        may = [bool(_may_link(np.array([n, m]), np.arange(2), [a, b], None, percent).any()) for n, m, a, b in rows]
+        return batch.select(["hub", "node"]).filter(pa.array(may, pa.bool_()))
+
+    return map_batches(met, run, "hub long, node long")
+
+
 def _star_links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (hub, node) those whose sets are similar, as links (a, b).
 
     A hub's members come in sorted runs of about RUN, each behind the hub's own
     set; a task holds one hub set and one member at a time.
     """
+    pairs = written(_near_pairs(sets, pairs, percent), "near-pairs")
     runs = pairs.groupBy("hub").agg(F.expr(f"cast((count(*) + {RUN - 1}) div {RUN} as int)").alias("runs"))
     spread = pairs.join(runs, "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), "runs").cast("int").alias("run"), F.lit(1).alias("side")).alias("g"))
     hubs = runs.select(F.col("hub").alias("node"), F.explode(F.transform(F.expr("sequence(0, runs - 1)"), lambda r: F.struct("hub", r.alias("run"), F.lit(0).alias("side")))).alias("g"))
@@ -123,14 +164,17 @@ def _block_links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame
     """Links between members (bucket, node, comp) of a bucket that lie in different components.
 
     A bucket's members fall into blocks of about BLOCK; each pair of blocks is a
-    group of its own that compares what is still apart and passes on the links
-    that connect it.
+    group of its own.  First sketches meet, a sixteenth of a set's bytes, and name
+    the members that may have a partner; these are then compared on their sets,
+    as far as they are still apart, and the links that connect them passed on.
     """
     blocks = members.groupBy("bucket").agg(F.expr(f"cast((count(*) + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     spread = members.join(blocks, "bucket").withColumn("own", own)
     cell = F.transform(F.expr("sequence(0, blocks - 1)"), lambda j: F.struct("bucket", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "own", "comp"))
-    rows = _with_sets(sets, written(spread.select("node", F.explode(cell).alias("g")).groupBy("node").agg(F.collect_list("g").alias("g")), "blocks"))
+    cells = written(spread.select("node", F.explode(cell).alias("g")).select("node", "g.*"), "cells")
+    near = written(_near(cells.join(sets.select("node", "n", "sketch").hint("merge"), "node"), percent), "near")
+    rows = _with_sets(sets, near.groupBy("node").agg(F.collect_list(F.struct("bucket", "i", "j", "own", "comp")).alias("g")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -168,6 +212,33 @@ def _block_links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long")
 
 
+def _near(members: DataFrame, percent: int) -> DataFrame:
+    """The members (node, bucket, i, j, own, comp, n, sketch) of pairs of blocks whose sketches leave them a partner: full sets travel for these alone."""
+    names = ["node", "bucket", "i", "j", "own", "comp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def found() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            sides = np.array(columns[4]) if at[1] != at[2] else None
+            may = _may_link(np.array(columns[6]), np.array(columns[5]), columns[7], sides, percent)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:6], (pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64()), strict=True)], names).filter(pa.array(may))
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "n", "sketch")), strict=True):
+                if row[1:4] != at:
+                    if held:
+                        yield found()
+                    at = row[1:4]
+                held.append(row)
+        if held:
+            yield found()
+
+    return members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "node long, bucket long, i int, j int, own int, comp long")
+
+
 def _second_links(sets: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
     """Links to a second hub: the smallest member of each bucket that is not in its first hub's component meets the rest of them."""
     first = apart.groupBy("bucket").agg(F.min(F.struct("rep", "node", "comp")).alias("first"))

@@ -127,3 +127,16 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(300, 300), (7, 3), (None, 4)] + [(5, 4)] * 3
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_sketches_never_hide_a_partner():
+    """Bits in which sketches differ bound the elements in which sets differ from below, also across sizes."""
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 120, 130, 1000)]
+    sets += [np.unique(np.r_[s[len(s) // 8 :], r.integers(0, 1 << 63, len(s) // 9).astype(np.uint64)]) for s in sets]
+    sizes, comps = np.array([len(s) for s in sets]), np.arange(len(sets))
+    for percent in (50, 75, 85):
+        may = linking._may_link(sizes, comps, [linking.sketch_of(s) for s in sets], None, percent)
+        for i, a in enumerate(sets):
+            assert may[i] or not any(linking.similar(a, b, percent) for j, b in enumerate(sets) if i != j)
+    assert not linking._may_link(sizes[:5], comps[:5], [linking.sketch_of(s) for s in sets[:5]], None, 75).any()
