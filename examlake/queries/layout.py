@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from examlake.operators import glyphs as T
 from examlake.operators import layout as G
 from examlake.plans.model import table
 from examlake.registry import query
@@ -124,3 +125,106 @@ def source_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     value = G.confidence(*(F.col(c) for c in ("pages", "empty", "unstructured", "thin", "chars", "unreadable", "stacked")))
     return p.select("source", "pages", "empty", "unstructured", "thin", "unreadable", "stacked", F.round(value, 6).alias("confidence"))
+
+
+# Glyphs of printed lines from line items: suppliers are pages, orders baselines, some glyphs raised or lowered.
+_GLYPHS = """base as (
+    select l_suppkey as page, l_orderkey * 8 + l_linenumber as glyph_id, (l_orderkey % 40) * 9.5 + (l_linenumber % 2) * 0.75 as base, (l_partkey % 60) * 4.0 as x0, l_partkey % 11 = 0 as up, l_partkey % 13 = 0 as down,
+        substr('abcdefgh0123456789ijklmnopqrstuvwxyz,(', cast((l_partkey * 7 + l_orderkey) % 38 as int) + 1, 1) as char, l_linestatus = 'O' and l_linenumber = 3 as space_before from lineitem
+), glyphs as (
+    select page, cast(x0 as double) as x0, cast(base + case when up then 3 when down then -3 else 0 end as double) as y0, cast(x0 + case when up or down then 2.5 else 3.5 end as double) as x1,
+        cast(base + case when up then 7 when down then 1 else 8 end as double) as y1, char, space_before, glyph_id from base
+), ordered as (select *, row_number() over (partition by page order by y1 desc, x0, y0, x1, char, space_before, glyph_id) as k from glyphs),
+swept(page, k, row_no, low, high) as (
+    select page, k, 0, y0, y1 from ordered where k = 1 union all
+    select page, k, case when j then row_no else row_no + 1 end, case when j then least(low, y0) else y0 end, case when j then greatest(high, y1) else y1 end
+    from (select g.*, s.row_no, s.low, s.high, least(s.high, g.y1) - greatest(s.low, g.y0) >= least(g.y1 - g.y0, s.high - s.low) * 0.25 as j from swept s join ordered g on g.page = s.page and g.k = s.k + 1)
+), placed as (select o.*, s.row_no as "row" from ordered o join swept s using (page, k))"""
+
+
+def glyph_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page, x0, y0, x1, y1, char, space_before, glyph_id`` from line items."""
+    up, down = F.col("l_partkey") % 11 == 0, F.col("l_partkey") % 13 == 0
+    base, x0 = (F.col("l_orderkey") % 40) * 9.5 + (F.col("l_linenumber") % 2) * 0.75, (F.col("l_partkey") % 60) * 4.0
+    char = F.substring(F.lit("abcdefgh0123456789ijklmnopqrstuvwxyz,("), ((F.col("l_partkey") * 7 + F.col("l_orderkey")) % 38).cast("int") + 1, F.lit(1))
+    boxed = {"x0": x0, "y0": base + F.when(up, 3).when(down, -3).otherwise(0), "x1": x0 + F.when(up | down, 2.5).otherwise(3.5), "y1": base + F.when(up, 7).when(down, 1).otherwise(8)}
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("page"), *(c.cast("double").alias(n) for n, c in boxed.items()), char.alias("char"),
+        ((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 3)).alias("space_before"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("glyph_id"),
+    )
+
+
+@query(f"""with recursive {_GLYPHS} select page, "row", count(*) as glyphs, min(y0) as low, max(y1) as high, cast(bit_xor(glyph_id) as bigint) as ids from placed group by all""")
+def glyph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that glyphs form, with a border that depends on the row's own extent."""
+    return T.rows(glyph_table(spark, sf_dir), ["page"]).groupBy("page", "row").agg(F.count("*").alias("glyphs"), F.min("y0").alias("low"), F.max("y1").alias("high"), F.bit_xor("glyph_id").alias("ids"))
+
+
+@query(rf"""with recursive {_GLYPHS}, m as (
+    select *, greatest(median(x1 - x0) over w * 0.28, 0.1) as gap_limit, median(y1 - y0) over w as body, median(y0) over w as baseline, row_number() over (partition by page, "row" order by x0, k) as place from placed window w as (partition by page, "row")
+), kinds as (
+    select *, case when not regexp_matches(char, '^[a-z0-9]$') then '' when y1 - y0 < body * 0.86 and y0 - baseline > body * 0.22 then 'super'
+        when y1 - y0 < body * 0.75 and y0 - baseline < -body * 0.22 and y1 < baseline + body * 0.5 then 'sub' else '' end as kind, coalesce(lag(x1) over a is not null and (space_before or x0 - lag(x1) over a > gap_limit), false) as breaks
+    from m window a as (partition by page, "row" order by place)
+), runs as (select *, sum((breaks or kind <> coalesce(lag_kind, ''))::int) over (partition by page, "row" order by place) as run from (select *, lag(kind) over (partition by page, "row" order by place) as lag_kind from kinds)),
+texts as (select page, "row", run, any_value(kind) as kind, bool_or(breaks) as breaks, string_agg(char, '' order by place) as t from runs group by all),
+pieces as (
+    select *, case when kind = '' or regexp_matches(t, '^[a-z]+$') then t when kind = 'super' and regexp_matches(t, '^[0-9ni]+$') then translate(t, '0123456789ni', '⁰¹²³⁴⁵⁶⁷⁸⁹ⁿⁱ')
+            when kind = 'sub' and regexp_matches(t, '^[0-9]+$') then translate(t, '0123456789', '₀₁₂₃₄₅₆₇₈₉') else case when kind = 'super' then '^(' else '_(' end || t || ')' end as piece,
+        case when kind = '' then null when regexp_matches(t, '^[a-z]+$') then case when t in ('st', 'nd', 'rd', 'th') then 'ordinals_joined' else 'scripts_flattened' end when kind = 'super' and regexp_matches(t, '^[0-9ni]+$') then 'superscripts'
+            when kind = 'sub' and regexp_matches(t, '^[0-9]+$') then 'subscripts' else 'scripts_marked' end as repair from texts
+)
+select page, "row", trim(string_agg(case when breaks then ' ' else '' end || piece, '' order by run)) as text, count(repair) as repaired, count(*) filter (repair = 'superscripts') as superscripts from pieces group by all""")
+def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each row, with word breaks, raised and lowered runs."""
+    text = T.rendered(T.rows(glyph_table(spark, sf_dir), ["page"]), ["page"])
+    return text.select("page", "row", "text", F.size("repairs").cast("long").alias("repaired"), F.size(F.filter("repairs", lambda r: r == "superscripts")).cast("long").alias("superscripts"))
+
+
+@query(r"""with d as (select doc_id, replace(replace(coalesce(text, ''), 'a', case when doc_id % 3 = 0 then '`4' else 'a' end), 'ed', case when doc_id % 5 = 0 then '~ 7' else 'ed' end) as t from documents),
+c as (select doc_id, t, len(regexp_extract_all(t, '`')) as a, len(regexp_extract_all(t, '`[ \t\n]?[0-9]')) as ah, len(regexp_extract_all(t, '~')) as b, len(regexp_extract_all(t, '~[ \t\n]?[0-9]')) as bh from d),
+s as (select doc_id, t, case when ah >= 3 and ah >= 0.8 * a then '`' when bh >= 3 and bh >= 0.8 * b then '~' end as sign from c)
+select doc_id, sign, md5(case sign when '`' then regexp_replace(t, '`[ \t\n]?([0-9])', '₹\1', 'g') when '~' then regexp_replace(t, '~[ \t\n]?([0-9])', '₹\1', 'g') else t end) as text_md5 from s""")
+def currency_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for a currency sign in texts with one of two stand-ins put in, and the texts with it restored."""
+    t = F.coalesce("text", F.lit(""))
+    t = F.replace(t, F.lit("a"), F.when(F.col("doc_id") % 3 == 0, "`4").otherwise("a"))
+    t = F.replace(t, F.lit("ed"), F.when(F.col("doc_id") % 5 == 0, "~ 7").otherwise("ed"))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("sign", T.currency(F.col("t")))
+    return d.select("doc_id", "sign", F.md5(T.with_currency(F.col("t"), F.col("sign")).cast("binary")).alias("text_md5"))
+
+
+@query(r"""with d as (select doc_id, replace(replace(replace(coalesce(text, ''), 'an', chr(8216) || 'n' || chr(160) || chr(160)), 'in', chr(64257)), 'or', chr(8203) || chr(8212)) as t from documents)
+select doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(t, chr(8216), chr(39)), chr(160), ' '), chr(64257), 'fi'), chr(8203), ''), chr(8212), '-'), '[ \t]{2,}', ' ', 'g'), ' ')) as text_md5 from d""")
+def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-alike punctuation, ligatures and blanks put into texts and normalised again; SQL has no composition, so it is left out."""
+    t = F.coalesce("text", F.lit(""))
+    for plain, odd in (("an", "\u2018n\u00a0\u00a0"), ("in", "\ufb01"), ("or", "\u200b\u2014")):
+        t = F.replace(t, F.lit(plain), F.lit(odd))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalised(t, compose=False).cast("binary")).alias("text_md5"))
+
+
+_LINES = """lines as (
+    select l_suppkey as document, l_linenumber as page, row_number() over (partition by l_suppkey, l_linenumber order by l_orderkey, l_partkey, l_quantity) - 1 as ordinal, cast(l_quantity as int) % 3 - 1 as "column", 'line ' || l_orderkey as text, cast(l_quantity as int) % 3 = 0 as is_heading from lineitem
+)"""
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document, page, ordinal, column, text, is_heading`` from line items."""
+    place = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity")) - 1
+    third = F.col("l_quantity").cast("int") % 3
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("document"), F.col("l_linenumber").alias("page"), place.alias("ordinal"), (third - 1).alias("column"), F.concat(F.lit("line "), F.col("l_orderkey").cast("string")).alias("text"), (third == 0).alias("is_heading"))
+
+
+@query(f"""with {_LINES}, marked as (select *, case when lag("column") over (partition by document, page order by ordinal) <> "column" then chr(10) else '' end || case when is_heading then '## ' else '' end || text as line from lines),
+pages as (select document, page, '[page] ' || page || chr(10) || chr(10) || string_agg(line, chr(10) order by ordinal) || chr(10) as t from marked group by document, page)
+select document, md5(string_agg(t, chr(10) order by page)) as markdown_md5 from pages group by document""")
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as markdown with page marks, blank lines between columns and headings."""
+    return T.markdown(laid_out(spark, sf_dir), ["document"]).select("document", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
+
+
+@query(f"""with {_LINES} select document, cast(row_number() over (partition by document order by page, ordinal) - 1 as int) as order_index, page as page_no, case when is_heading then 'heading' else 'paragraph' end as block_type, text, 0 as level from lines""")
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as block records."""
+    return T.blocks(laid_out(spark, sf_dir), ["document"])
