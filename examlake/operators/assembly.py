@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from examlake.plans.tables import kept
+
 LEVELS = ("easy", "medium", "hard")
 
 
@@ -60,3 +62,66 @@ def selected(pool: DataFrame, quotas: DataFrame, by: list[str], seed: int) -> Da
     order = Window.partitionBy(*by).orderBy("phase", F.coalesce("turn", F.lit(0)), F.when(F.col("turn").isNull(), 0).otherwise(in_turn), "rank")
     numbered = ranked.withColumns({"turn": turn, "phase": phase}).withColumn("sequence", F.row_number().over(order))
     return numbered.where("sequence <= want").select(*by, "question_id", "difficulty", "relevance", "phase", "sequence")
+
+
+# Percent of easy, medium and hard questions by type of paper, and of any other.
+MIXES = {"easy": (60, 35, 5), "tough": (10, 35, 55), "speed": (55, 40, 5)}
+USUAL_MIX = (30, 50, 20)
+
+
+def mix_of(kind: Column) -> Column:
+    """The mix of a type of paper as ``easy, medium, hard``."""
+    mix = lambda values: F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(LEVELS, values, strict=True)))
+    out = mix(USUAL_MIX)
+    for name, values in MIXES.items():
+        out = F.when(F.lower(kind) == name, mix(values)).otherwise(out)
+    return out
+
+
+def normalised_mix(easy: Column, medium: Column, hard: Column) -> Column:
+    """The mix scaled to 100 in whole percents, hard taking the rest; the usual mix where the parts sum to nothing."""
+    e, m, h = (F.coalesce(p, F.lit(0)).cast("long") for p in (easy, medium, hard))
+    total = e + m + h
+    share = lambda p: F.when(total == 100, p).otherwise((p * 100 / total).cast("long"))
+    return F.when(total <= 0, mix_of(F.lit(""))).otherwise(F.struct(share(e).alias("easy"), share(m).alias("medium"), (100 - share(e) - share(m)).alias("hard")))
+
+
+def marks(section: Column, pattern: Column, least: Column | None = None) -> Column:
+    """The section's marks if positive, else the pattern's, else ``least``."""
+    positive = lambda c: F.when(c > 0, c)
+    return F.coalesce(positive(section), positive(pattern), *([least] if least is not None else []))
+
+
+def current_patterns(patterns: DataFrame, exam: str, pattern: str) -> DataFrame:
+    """The pattern of each exam: the one asked for (``asked``), else the active one, the smallest of several."""
+    ranked = F.min(F.struct((~F.coalesce(F.col("asked"), F.lit(False))).alias("not_asked"), F.col(pattern).alias("pattern")))
+    return patterns.where("asked or is_active").groupBy(exam).agg(ranked["pattern"].alias(pattern))
+
+
+def built(pool: DataFrame, sections: DataFrame, paper: str, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The items of every paper and how its sections were filled, each question drawn once.
+
+    ``sections`` has ``paper, section, subject_id, want, easy, medium, hard``, with
+    ``section`` counting from 1 to at most ``most``, the longest pattern; ``pool`` has
+    ``paper, question_id, subject_id, difficulty, relevance``.  Sections are filled in
+    their order and later ones draw from what is left, all papers in one
+    round: there are as many rounds as a pattern has sections.  A section
+    without a subject draws from all.  Items are numbered through the paper.
+    """
+    drawn, fills = None, []
+    pool = kept(pool, "pool")
+    for number in range(1, most + 1):
+        now = sections.where(F.col("section") == number)
+        left = pool if drawn is None else pool.join(drawn.select(paper, "question_id"), [paper, "question_id"], "left_anti")
+        met = left.join(now.select(paper, "section", F.col("subject_id").alias("asked")), paper).where("asked is null or subject_id = asked").drop("asked")
+        available = met.groupBy(paper, "section").agg(F.count("*").alias("available"))
+        taken = kept(selected(met, now.drop("subject_id"), [paper, "section"], seed), "drawn")
+        fills.append(now.join(available, [paper, "section"], "left").join(taken.groupBy(paper, "section").agg(F.count("*").alias("filled")), [paper, "section"], "left"))
+        drawn = taken if drawn is None else drawn.union(taken)
+    place = F.row_number().over(Window.partitionBy(paper).orderBy("section", "sequence"))
+    fill = fills[0]
+    for f in fills[1:]:
+        fill = fill.union(f)
+    fill = fill.na.fill(0, ["available", "filled"])
+    reason = F.when(F.col("filled") >= F.col("want"), "filled").when(F.col("available") == 0, "nothing reachable").otherwise("too few answered")
+    return drawn.withColumn("item", place), fill.select(paper, "section", "want", "filled", "available", (F.col("want") - F.col("filled")).alias("short"), reason.alias("reason"))

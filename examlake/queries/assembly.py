@@ -129,3 +129,58 @@ def assembly_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates left when the questions of the first two exams' papers are excluded."""
     used = chosen(spark, sf_dir).where("exam_id <= 2").select("question_id").distinct()
     return pool(spark, sf_dir).join(used, "question_id", "left_anti").groupBy("exam_id").agg(F.count("*").alias("left_over"))
+
+
+# Patterns of three sections, of which the first and the last share a subject; exams are papers, and what a question lacks in marks the pattern gives.
+_SHARED = f"""{_POOL}, firsts as (select exam_id, min(subject_id) as s1, max(subject_id) as s2 from quotas group by exam_id),
+plan as (
+    select exam_id, k as section, case when k = 2 then s2 else s1 end as subject_id, cast([9, 6, 14][k] as bigint) as want, [0, 60, 30][k] as e, [0, 30, 45][k] as m, [0, 30, 10][k] as h, [0, 2, -1][k] as marks, exam_id % 3 as pattern_marks
+    from firsts, (select unnest([1, 2, 3]) as k)
+), mixed as (
+    select *, case when e + m + h = 0 then 30 when e + m + h = 100 then e else e * 100 // (e + m + h) end as easy, case when e + m + h = 0 then 50 when e + m + h = 100 then m else m * 100 // (e + m + h) end as medium from plan
+), plan_targets as (select *, want * easy // 100 as t_easy, want * (100 - easy - medium) // 100 as t_hard, want - want * easy // 100 - want * (100 - easy - medium) // 100 as t_medium from mixed)"""
+
+
+def _round(number: int) -> str:
+    """One section of every exam from what the sections before have left."""
+    used = " union all ".join(f"select exam_id, question_id from drawn{i}" for i in range(1, number)) or "select 0 :: bigint as exam_id, 0 :: bigint as question_id where false"
+    return f"""left{number} as (select p.* from pool p anti join ({used}) u on u.exam_id = p.exam_id and u.question_id = p.question_id),
+ranked{number} as (
+    select p.exam_id, t.section, t.want, p.question_id, p.difficulty, p.relevance, row_number() over (partition by p.exam_id, difficulty order by relevance desc, md5('{SEED}:' || question_id), question_id) as rnk,
+        case difficulty when 'easy' then t_easy when 'hard' then t_hard else t_medium end as target
+    from left{number} p join plan_targets t on p.exam_id = t.exam_id and p.subject_id = t.subject_id where t.section = {number}
+), order{number} as (
+    select *, row_number() over (partition by exam_id order by case when rnk > target then 3 when difficulty = 'easy' then 0 when difficulty = 'medium' then 1 else 2 end, greatest(rnk - target, 0),
+        case when rnk <= target then 0 when difficulty = 'medium' then 0 when difficulty = 'easy' then 1 else 2 end, rnk) as sequence from ranked{number}
+), drawn{number} as (select exam_id, section, question_id, difficulty, sequence from order{number} where sequence <= want)"""
+
+
+_BUILT = f"{_SHARED}, {_round(1)}, {_round(2)}, {_round(3)}, drawn as (select * from drawn1 union all select * from drawn2 union all select * from drawn3)"
+
+
+def shared_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firsts = quotas(spark, sf_dir).groupBy("exam_id").agg(F.min("subject_id").alias("s1"), F.max("subject_id").alias("s2"))
+    pick = lambda *v: F.element_at(F.array(*(F.lit(x).cast("long") for x in v)), F.col("section"))
+    plan = firsts.select("exam_id", "s1", "s2", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("section"))
+    mix = B.normalised_mix(pick(0, 60, 30), pick(0, 30, 45), pick(0, 30, 10))
+    return plan.select("exam_id", "section", F.when(F.col("section") == 2, F.col("s2")).otherwise(F.col("s1")).alias("subject_id"), pick(9, 6, 14).alias("want"), mix.alias("mix"), B.marks(pick(0, 2, -1), F.col("exam_id") % 3, F.lit(1)).cast("long").alias("marks")).select("*", "mix.*").drop("mix")
+
+
+@query(f"""with {_BUILT} select d.exam_id, d.section, question_id, d.difficulty, cast(row_number() over (partition by d.exam_id order by d.section, sequence) as int) as item,
+    cast(case when p.marks > 0 then p.marks when pattern_marks > 0 then pattern_marks else 1 end as bigint) as marks from drawn d join plan p on d.exam_id = p.exam_id and d.section = p.section""")
+def assembly_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole papers whose first and last section draw from one subject, no question twice, with each item's marks."""
+    plan = shared_plan(spark, sf_dir)
+    items, _ = B.built(pool(spark, sf_dir), plan, "exam_id", SEED, 3)
+    return items.join(plan.select("exam_id", "section", "marks"), ["exam_id", "section"]).select("exam_id", "section", "question_id", "difficulty", "item", "marks")
+
+
+@query(f"""with {_BUILT}, a as (select exam_id, section, count(*) as available from (select exam_id, section from ranked1 union all select exam_id, section from ranked2 union all select exam_id, section from ranked3) group by all),
+f as (select exam_id, section, count(*) as filled from drawn group by all)
+select p.exam_id, p.section, p.want, coalesce(filled, 0) as filled, coalesce(available, 0) as available, p.want - coalesce(filled, 0) as short,
+    case when coalesce(filled, 0) >= p.want then 'filled' when coalesce(available, 0) = 0 then 'nothing reachable' else 'too few answered' end as reason
+from plan p left join a on a.exam_id = p.exam_id and a.section = p.section left join f on f.exam_id = p.exam_id and f.section = p.section""")
+def assembly_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each section of those papers was filled from what the sections before had left."""
+    _, fill = B.built(pool(spark, sf_dir), shared_plan(spark, sf_dir), "exam_id", SEED, 3)
+    return fill
