@@ -23,6 +23,8 @@ from examlake.llm.components import components
 
 #: Members of a hub that one sorted run compares, and members of a block.
 RUN, BLOCK = 2000, 256
+#: Members of a family of buckets that is compared as one, block by block.
+FAMILY = 16 * BLOCK
 #: Bits of the filter that keeps unwanted texts out of a shuffle.
 FILTER = 1 << 24
 
@@ -258,14 +260,14 @@ def _apart(meetings: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _families(apart: DataFrame) -> DataFrame:
-    """``apart`` with buckets that reach each other through their members put together, where they have at most BLOCK members in all.
+    """``apart`` with buckets that reach each other through their members put together, where they have at most FAMILY members in all.
 
     A set then comes once for its family and not once for each of its buckets;
     members of a larger family stay in their buckets.
     """
     first = apart.groupBy("bucket").agg(F.min("node").alias("a"))
     family = components(apart.join(first, "bucket").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "family")
-    small = family.groupBy("family").agg(F.count("*").alias("size")).where(f"size <= {BLOCK}").select("family")
+    small = family.groupBy("family").agg(F.count("*").alias("size")).where(f"size <= {FAMILY}").select("family")
     placed = written(apart.select("bucket", "node", "comp").join(family.join(small.withColumn("small", F.lit(True)), "family", "left"), "node"), "families")
     return placed.where("small").select(F.col("family").alias("bucket"), "node", "comp").distinct().union(placed.where("small is null").select("bucket", "node", "comp"))
 
@@ -282,9 +284,11 @@ def link(docs: DataFrame, classes: DataFrame, meetings: DataFrame, pairs: DataFr
     comps = components(links)
     apart = _apart(meetings, comps)
     if apart.take(1):
-        links = written(links.union(_second_links(sets, apart, percent)), "links")
-        comps = components(links)
-        apart = _apart(meetings, comps)
+        second = written(_second_links(sets, apart, percent), "links")
+        if second.take(1):
+            links = links.union(second)
+            comps = components(links)
+            apart = _apart(meetings, comps)
         more = written(_block_links(sets, _families(apart), percent), "more-links")
         comps = components(links.union(more)) if more.take(1) else comps
     return comps
