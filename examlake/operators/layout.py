@@ -31,18 +31,30 @@ def gutters(glyphs: DataFrame, page: str, row: str, x0: str, x1: str, width: Col
 
     A bin is clear if fewer than max(1, 6 percent) of the page's rows ink it.  A
     band is as wide as 1.2 percent of the page, two bins at least and one more at
-    the page's last ink; one that begins at its first ink is a margin.
+    the page's last ink; one that begins at its first ink is a margin.  A row's
+    boxes become spans of bins and these become edges, so rows grow with the boxes
+    and not with their width.
     """
     bin_of = lambda x: F.least(F.greatest(F.floor(F.col(x) / width * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    inked = glyphs.select(page, row, F.explode(F.sequence(bin_of(x0), bin_of(x1))).alias("bin")).distinct()
-    per_bin = inked.groupBy(page, "bin").agg(F.count("*").alias("rows"))
-    rows = inked.groupBy(page).agg(F.count_distinct(row).alias("all_rows"), F.min("bin").alias("left"), F.max("bin").alias("right"))
-    every = rows.select(page, "all_rows", F.explode(F.sequence("left", "right")).alias("bin"))
-    met = every.join(per_bin, [page, "bin"], "left").na.fill(0, ["rows"])
-    free = met.where(F.col("rows") < F.greatest(F.lit(1.0), clear * F.col("all_rows")))
+    span = F.struct(F.least(bin_of(x0), bin_of(x1)).alias("a"), F.greatest(bin_of(x0), bin_of(x1)).alias("b"))
+    spans = glyphs.where(F.col(x0).isNotNull() & F.col(x1).isNotNull()).select(page, row, span.alias("s")).groupBy(page, row).agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    last = lambda a: F.get(a, F.size(a) - 1)
+    grown = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["a"].alias("a"), F.greatest(last(a)["b"], s["b"]).alias("b"))))
+    step = lambda a, s: F.when((F.size(a) > 0) & (s["a"] <= last(a)["b"] + 1), grown(a, s)).otherwise(F.array_append(a, s))
+    inked = F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), step)
+    # A row's ink is an edge up and one down for each of its spans; -1 counts the row.
+    edge = lambda at, n: F.struct(at.cast("int").alias("at"), F.lit(n).alias("n"))
+    edges = F.concat(F.array(edge(F.lit(-1), 1)), F.transform("inked", lambda s: edge(s["a"], 1)), F.transform("inked", lambda s: edge(s["b"] + 1, -1)))
+    steps = spans.select(page, inked.alias("inked")).select(page, F.explode(edges).alias("e")).groupBy(page, F.col("e.at").alias("at")).agg(F.sum("e.n").alias("n"))
+    along, whole = Window.partitionBy(page).orderBy("at"), Window.partitionBy(page)
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    all_rows = F.max(F.when(F.col("at") < 0, F.col("n"))).over(whole)
+    met = steps.withColumns({"all_rows": all_rows, "rows": F.sum(F.when(F.col("at") >= 0, F.col("n")).otherwise(0)).over(so_far), "until": F.lead("at").over(along) - 1, "left": F.min(F.when(F.col("at") >= 0, F.col("at"))).over(whole), "right": F.max("at").over(whole) - 1})
+    met = met.where("at >= 0 and until is not null").withColumn("free", F.col("rows") < F.greatest(F.lit(1.0), clear * F.col("all_rows")))
+    met = met.withColumn("band", F.sum((~F.col("free")).cast("int")).over(so_far)).where("free")
     least = max(2, int(least_width * bins))
-    bands = islands(free, [page], "bin").join(rows.select(page, "left", "right"), page)
-    bands = bands.where((F.col("first") > F.col("left")) & (F.col("n") >= least + (F.col("last") == F.col("right")).cast("int")))
+    bands = met.groupBy(page, "band").agg(F.min("at").alias("first"), F.max("until").alias("last"), F.first("left").alias("left"), F.first("right").alias("right"))
+    bands = bands.withColumn("n", (F.col("last") - F.col("first") + 1).cast("long")).where((F.col("first") > F.col("left")) & (F.col("n") >= least + (F.col("last") == F.col("right")).cast("int")))
     rank = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("n"), "first"))
     return bands.withColumn("rank", rank).where(F.col("rank") <= most).select(page, F.col("first").alias("from_bin"), F.col("last").alias("to_bin"), "n")
 
