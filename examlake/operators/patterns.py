@@ -124,3 +124,48 @@ def negative_marks(lines: Column) -> Column:
         return F.when(line.rlike(PENALTY_LINE), F.round(F.coalesce(_bounded(part, 10), plain), 2))
 
     return F.when(F.exists(lines, lambda x: x.rlike(NO_PENALTY)), F.lit(0.0)).otherwise(_first(F.transform(lines, of)))
+
+
+def to_multiple(value: Column, of: int) -> Column:
+    """The nearest multiple of ``of``, halves away from zero."""
+    return (F.round(value / of) * of).cast("long") if of > 1 else F.round(value).cast("long")
+
+
+def schemes(papers: DataFrame, exam: str, text: str) -> DataFrame:
+    """``exam, duration_min, total_marks, marks_per_question, negative_marks``: what the headers of an exam's papers agree on most, the larger of equals.
+
+    Values must be positive to count, but for a penalty that a paper states as none.
+    """
+    names = ("duration_min", "total_marks", "marks_per_question", "negative_marks")
+    read = papers.select(exam, header_lines(F.col(text)).alias("lines")).select(exam, *(f(F.col("lines")).cast("double").alias(n) for f, n in zip((duration, total_marks, marks_per_question, negative_marks), names, strict=True)))
+    long = read.select(exam, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names))).alias("x")).select(exam, "x.*")
+    found = mode_larger_wins(long, [exam, "name"], "value").groupBy(exam).agg(*(F.max(F.when(F.col("name") == n, F.col("mode"))).alias(n) for n in names))
+    return papers.select(exam).distinct().join(found, exam, "left").withColumn("duration_min", F.col("duration_min").cast("int"))
+
+
+def draft(papers: DataFrame, observed: DataFrame, exam: str, paper: str, section: str, count: str, place: str, round_to: int = 1, usual_marks: float = 1.0) -> DataFrame:
+    """One pattern for each exam from its papers (exam, paper, text, questions, options) and their observed sections.
+
+    Papers without questions are counted as skipped and decide nothing; an exam
+    with none left has no sections, confidence or marks.  Sections, where there
+    are any, set the total; marks are printed ones, else the total times the
+    marks of a question.
+    """
+    usable = papers.where("questions > 0")
+    base = papers.groupBy(exam).agg(F.count_if(F.col("questions") > 0).alias("derived_from"), F.count_if(F.coalesce(F.col("questions"), F.lit(0)) <= 0).alias("skipped"))
+    totals = usable.groupBy(exam).agg(to_multiple(F.median("questions"), round_to).alias("median_total"))
+    options = mode_larger_wins(usable.where("options > 0"), [exam], "options").select(exam, F.col("mode").alias("options"))
+    seen = observed.join(usable.select(exam, paper), [exam, paper], "left_semi")
+    parts = sections(seen, exam, paper, section, count, place)
+    sized = parts.groupBy(exam).agg(F.sum("questions").alias("section_total"), F.count("*").alias("sections"))
+    sure = confidence(parts, usable.withColumn("total", F.col("questions")), exam, "total")
+    met = base
+    for other in (totals, options, schemes(usable, exam, "text"), sized, sure):
+        met = met.join(other, exam, "left")
+    each = F.when(F.col("marks_per_question") > 0, F.col("marks_per_question")).otherwise(usual_marks)
+    questions = F.when(F.col("section_total") > 0, F.col("section_total")).otherwise(F.coalesce("median_total", F.lit(0)))
+    made = met.withColumns({"total_questions": questions, "each": each})
+    return made.select(
+        exam, "derived_from", "skipped", "total_questions", "options", "duration_min", F.col("each").alias("marks_per_question"), F.coalesce("negative_marks", F.lit(0.0)).alias("negative_marks"),
+        F.when(F.col("total_marks") > 0, F.col("total_marks")).otherwise(F.col("total_questions") * F.col("each")).alias("total_marks"), F.coalesce("sections", F.lit(0)).alias("sections"), "confidence",
+    )
