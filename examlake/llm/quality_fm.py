@@ -137,16 +137,18 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_ROWS) -> Machine:
     """Fit on at most ``max_rows`` labelled rows, chosen by hash of their key; a label of one kind gives a constant score.
 
-    Executors compute the sample's features; the driver holds those alone.
+    A key with both labels counts as 1; of rows that repeat a key the first text by
+    hash counts; null texts are empty ones.  Executors compute the sample's
+    features; the driver holds those alone.
     """
-    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)").dropDuplicates(["key"])
+    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
     chosen = marked.orderBy(F.xxhash64("key"), "key").limit(max_rows)
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(t) for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column("y"), pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["y", "places", "values"])
 
-    sample = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("key", "y", "text")
+    sample = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows, y = [], []
     for r in map_batches(sample.orderBy("key").drop("key"), read, "y int, places array<int>, values array<float>").toLocalIterator():
         rows.append((np.array(r["places"], np.int64), np.array(r["values"], np.float64)))

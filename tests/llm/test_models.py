@@ -237,3 +237,11 @@ def test_rare_insults_count_and_near_copies_do_not(spark):
     asked = [(i, said(x)) for i, x in enumerate(("idiot", "zworwkxy", "qhuqhjwz", "and"))]
     got = [x["score"] >= queries.TOXIC for x in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).orderBy("doc_id").collect()]
     assert got == [True, True, False, False]
+
+
+def test_quality_fit_of_conflicting_labels_and_repeated_keys(spark):
+    """Whatever the order and the dealing of rows, a key has one label and one text."""
+    docs = [(i % 30, f"{'good plain words' if i % 3 else 'x1 $$ %%'} number {i}") for i in range(60)] + [(None, "no key"), (7, None)]
+    marks = [(i, int(i % 3 > 0)) for i in range(30)] + [(3, 1), (3, 0), (4, 0), (None, 1), (5, None)]
+    made = [quality_fm.fit(spark.createDataFrame(d, "doc_id long, text string").repartition(n), spark.createDataFrame(m, "doc_id long, quality int").repartition(n)) for d, m, n in ((docs, marks, 1), (docs[::-1], marks[::-1], 3))]
+    assert [m.score(b"good plain words") for m in made][0] == [m.score(b"good plain words") for m in made][1]
