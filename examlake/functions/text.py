@@ -112,3 +112,46 @@ def grounded(source: Column, words: Column) -> Column:
 def coverage(source: Column, words: Column) -> Column:
     """The share of the words that stand anywhere in the source; 1 without words."""
     return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.filter(words, lambda w: F.array_contains(source, w))) / F.size(words))
+
+
+def excerpt(text: Column, at: Column, around: int = 30, most: int = 70) -> Column:
+    """The characters within ``around`` of a 0-based place, re-joined and shortened; empty where the place is negative."""
+    begin, end = F.greatest(at - around, F.lit(0)), F.least(at + around, F.char_length(text))
+    return F.when(at < 0, "").otherwise(shortened(text.substr((begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")), most))
+
+
+def aliases_of(stored: Column) -> Column:
+    """The trimmed names of a stored JSON list; anything else gives none."""
+    found = F.from_json(stored, "array<string>", {"mode": "PERMISSIVE"})
+    return F.coalesce(F.filter(F.transform(found, lambda a: F.trim(a)), lambda a: F.coalesce(a != "", F.lit(False))), F.array().cast("array<string>"))
+
+
+def stored_aliases(names: Column) -> Column:
+    """Names as a JSON list, trimmed, without blanks, the first of those that differ in case only."""
+    cleaned = F.filter(F.transform(names, lambda a: F.trim(a)), lambda a: F.coalesce(a != "", F.lit(False)))
+    held = lambda out, a: F.exists(out, lambda o: F.lower(o) == F.lower(a))
+    return F.to_json(F.aggregate(cleaned, F.array().cast("array<string>"), lambda out, a: F.when(held(out, a), out).otherwise(F.array_append(out, a))))
+
+
+def printable(s: Column) -> Column:
+    """Line ends as one line feed, without control characters and what no font prints."""
+    s = F.regexp_replace(s, r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(s, r"[\x00-\x08\x0B-\x1F\x7F\x{FFFD}\x{FFFE}\x{FFFF}]", ""), r"^\s+|\s+\z", "")
+
+
+def cut_at_word(s: Column, most: int) -> Column:
+    """At most ``most`` characters with an ellipsis where cut, at a space among the last 20 if there is one and never behind half a syllable."""
+    head = s.substr(F.lit(1), F.lit(most - 1))
+    last_space = F.char_length(head) - F.char_length(F.regexp_extract(head, r"([^ \t\n]*)\z", 1)) - 1
+    cut = F.when((last_space > F.char_length(head) - 20) & (last_space > 0), head.substr(F.lit(1), last_space.cast("int"))).otherwise(head)
+    return F.when(F.char_length(s) <= most, s).otherwise(F.concat(F.regexp_replace(F.regexp_replace(cut, r"[\p{Mn}\p{Mc}]+\z", ""), r"^\s+|\s+\z", ""), F.lit("…")))
+
+
+def limited_bytes(s: Column, most: int) -> Column:
+    """``text, truncated``: what fits in ``most`` bytes of UTF-8, without half a character at its end."""
+    data = s.cast("binary")
+    # A byte 10xxxxxx behind the cut says that a character is split: step back to where it begins, three bytes at most.
+    splits = lambda i: F.hex(F.substring(data, most + 1 - i, 1)).between("80", "BF")
+    back = F.when(~splits(0), 0).when(~splits(1), 1).when(~splits(2), 2).otherwise(3)
+    kept = F.when(F.octet_length(s) > most, F.decode(data.substr(F.lit(1), F.lit(most) - back), "UTF-8")).otherwise(s)
+    return F.struct(kept.alias("text"), (F.octet_length(s) > most).alias("truncated"))

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from examlake.queries import assembly, content, ingest, layout, papers, parsed, patterns, questions, queue, replies, warehouse  # noqa: F401
+    from examlake.queries import assembly, content, ingest, layout, papers, parsed, patterns, questions, queue, replies, scalars, warehouse  # noqa: F401
