@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from examlake.plans.tables import kept
@@ -50,9 +50,21 @@ def claim_order(events: DataFrame, queue: str, at: str = "ts", tie: str = "event
 
 
 def stream_states(events: DataFrame, path: str, checkpoint: str):
-    """Start to keep ``states`` of an event stream as a table: every micro-batch writes the whole new state, which grows with jobs and not with events."""
+    """Start to keep ``states`` of an event stream as tables: every micro-batch writes the whole new state, which grows with jobs and not with events.
+
+    Each batch has a folder of its own and is named once it is whole, so a reader
+    never sees half a state and keeps what it opened; a batch that is run again
+    writes the same folder.  Folders older than any reader are the caller's to remove.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        batch.sparkSession.range(number, number + 1).coalesce(1).write.mode("append").parquet(f"{path}/named")
 
     return states(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+
+
+def current_states(spark: SparkSession, path: str) -> DataFrame:
+    """The state that ``stream_states`` named last under ``path``."""
+    newest = spark.read.schema("id long").parquet(f"{path}/named").agg(F.max("id")).first()[0]
+    return spark.read.parquet(f"{path}/batch-{newest}")

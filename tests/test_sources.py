@@ -40,4 +40,4 @@ def test_stream_of_jobs_equals_the_batch(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     order = lambda d: sorted(map(tuple, d.collect()))
-    assert order(spark.read.parquet(str(tmp_path / "out"))) == order(jobs.states(events))
+    assert order(jobs.current_states(spark, str(tmp_path / "out"))) == order(jobs.states(events))
