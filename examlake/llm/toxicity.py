@@ -304,9 +304,11 @@ def machine(positive: list[str], seen: np.ndarray, negative: list[str], clean: n
     return Model(folded(marks, alphas), float(beta[-1]), landmarks=marks, alphas=alphas.tolist())
 
 
-def learned(units: list[str], clean: np.ndarray, bags: list[list[int]], texts: tuple[int, int]) -> Model:
+def learned(units: list[str], clean: np.ndarray, bags: list[list[int]] | tuple[np.ndarray, np.ndarray], texts: tuple[int, int]) -> Model:
     """The multiple-instance machine: ``bags`` names the toxic texts that hold each unit and ``clean`` counts its clean ones, of ``texts`` in all.
 
+    Many bags come as two arrays, how many texts each unit has and all their numbers unit by unit.
+
     The first witnesses are those of the largest mean discrepancy between both
     kinds of texts, of whole units and of their triples, each in units of its own
     error; it also decides among what a machine cannot tell apart.  Clean units join the training as
@@ -323,7 +325,7 @@ def learned(units: list[str], clean: np.ndarray, bags: list[list[int]], texts: t
     def apart(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
         return (toxic / texts[0] - clean / texts[1]) / np.sqrt(np.maximum(toxic + clean, 1) / sum(texts) * (1 / texts[0] + 1 / texts[1]))
 
-    toxic = np.array([len(b) for b in bags])
+    toxic, numbers = bags if isinstance(bags, tuple) else (np.array([len(b) for b in bags]), np.array([n for b in bags for n in b], np.int64))
     sums = np.zeros((2, CODES**3))
     for at, triples, w in expanded(rows):
         for side, n in zip(sums, (toxic, clean), strict=True):
@@ -333,7 +335,7 @@ def learned(units: list[str], clean: np.ndarray, bags: list[list[int]], texts: t
     place = {u: i for i, u in enumerate(units)}
     phrases = np.array([(i, *(place[w] for w in u.split(" "))) for i, u in enumerate(units) if " " in u], np.int64).reshape(-1, 3).T
     unit = np.repeat(np.arange(len(units)), toxic)
-    owner = np.unique(np.concatenate([np.asarray(b, np.int64) for b in bags if b]), return_inverse=True)[1]
+    owner = np.unique(numbers, return_inverse=True)[1]
     held = np.zeros(len(units), bool)
     held[np.argsort(-np.where(clean > 0, prior, -np.inf), kind="stable")[: 16 * LANDMARKS]] = True
     stride = 1 + len(units) // (64 * LANDMARKS)
@@ -449,10 +451,15 @@ def trained(units: DataFrame, texts: tuple[int, int]) -> Model:
     """The machine of ``labelled_units``, fitted in one task: the bound on labelled documents bounds its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).sort_by("unit")
+        rows = pa.Table.from_batches(list(batches)).sort_by("unit").combine_chunks()
         names = rows["unit"].to_pylist()
         if names:
-            model = learned(names, rows["clean"].to_numpy(), [sorted(b) for b in rows["bags"].to_pylist()], texts)
+            held = rows["bags"].combine_chunks()
+            many, numbers = held.value_lengths().to_numpy(zero_copy_only=False), held.flatten().to_numpy(zero_copy_only=False)
+            clean = rows["clean"].to_numpy().copy()
+            numbers = numbers[np.lexsort((numbers, np.repeat(np.arange(len(many)), many)))]
+            del rows, held
+            model = learned(names, clean, (many, numbers), texts)
             out = [model.weights.tobytes()], [model.bias], [sorted(model.phrases)], [model.landmarks], [model.alphas]
             kinds = pa.binary(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], [c.split()[0] for c in _MODEL.split(", ")])
