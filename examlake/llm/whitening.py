@@ -29,8 +29,8 @@ LANCZOS, ROUNDS = 10, 80
 CERTAIN, ROUNDING = 1e-12, 4e-15
 #: An eigenvalue below this part of the first is zero: there is nothing to divide by.
 NOTHING = 1e-12
-#: Vectors of a packed row, and groups of tasks whose sums meet before they reach the driver.
-PACK, GROUPS = 1024, 32
+#: Vectors of a packed row, entries for which the fit list gets a file, and most blocks of sums that reach the driver at once.
+PACK, ENTRIES, GROUPS = 1024, 1 << 19, 32
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -51,8 +51,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _fit_list(x: DataFrame, dim: int) -> DataFrame:
-    """The distinct vectors, many to a row in the narrowest integers that hold them: passes read few bytes and no lists."""
+def _fit_list(x: DataFrame, dim: int, many: int) -> DataFrame:
+    """The distinct ones of ``many`` vectors, many to a row in the narrowest integers that hold them: passes read few bytes and no lists.
+
+    A pass costs a task and a file each part, so there are as many as the vectors fill, not as many as a shuffle has.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +66,8 @@ def _fit_list(x: DataFrame, dim: int) -> DataFrame:
 
     # Vectors that differ only in trailing zeros are one vector of the whole dimension.
     full = F.expr(f"if(size(x) = {dim}, x, concat(x, array_repeat(0L, {dim} - size(x))))")
-    return written(x.select(full.alias("x")).distinct().mapInArrow(pack, "kind string, data binary"), "fit-list")
+    parts = -(-many * dim // ENTRIES)
+    return written(x.select(full.alias("x")).distinct().coalesce(parts).mapInArrow(pack, "kind string, data binary"), "fit-list")
 
 
 class Moments:
@@ -80,8 +84,9 @@ class Moments:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array([n] * dim, pa.int64()), pa.array(map(decimal.Decimal, s), pa.decimal128(38, 0))], ["i", "n", "s"])
 
-        rows = packed.mapInArrow(sums, "i int, n long, s decimal(38,0)").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("i").collect()
-        self.n, self.sums = rows[0]["n"] if rows else 0, [int(r["s"]) for r in rows]
+        added = packed.mapInArrow(sums, "i int, n long, s decimal(38,0)").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("tasks"))
+        rows = sorted(added.collect(), key=lambda r: r["i"])
+        self.n, self.tasks, self.sums = rows[0]["n"] if rows else 0, rows[0]["tasks"] if rows else 0, [int(r["s"]) for r in rows]
         self.mean = np.array([s / self.n for s in self.sums])
 
         self.trace = float(self.summed(lambda z: np.array([(z * z).sum()]), (1,))[0]) if self.n else 0.0
@@ -91,7 +96,7 @@ class Moments:
         return self.summed(lambda z: z.T @ (z @ block), block.shape)
 
     def summed(self, of: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-        """The mean over the fit list of what ``of`` makes of centred vectors: tasks add their blocks, groups of tasks theirs, the driver the groups."""
+        """The mean over the fit list of what ``of`` makes of centred vectors: tasks add their blocks, beyond GROUPS tasks groups of them theirs, the driver the rest."""
         dim, mean = self.dim, self.mean
 
         def row(total: np.ndarray) -> pa.RecordBatch:
@@ -113,8 +118,10 @@ class Moments:
                 yield row(total)
 
         schema = "part int, v binary"
-        rows = self.packed.mapInArrow(work, schema).repartition("part").mapInArrow(add, schema).collect()
-        return np.sum([np.frombuffer(r["v"]) for r in rows], 0).reshape(shape) / self.n
+        blocks = self.packed.mapInArrow(work, schema)
+        if self.tasks > GROUPS:
+            blocks = blocks.repartition(GROUPS, "part").mapInArrow(add, schema)
+        return np.sum([np.frombuffer(r["v"]) for r in blocks.collect()], 0).reshape(shape) / self.n
 
     def identity_error(self, directions: np.ndarray, values: np.ndarray) -> float:
         """The largest entry by which the covariance of the whitened fit list departs from the identity."""
@@ -212,8 +219,8 @@ def whiten(vectors: DataFrame, wanted: int = COMPONENTS, key: str = "vec_id", co
     small_batches(spark)
     x = written(quantised(vectors, key, column), "quantised")
     schema = f"key {x.schema['key'].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    dim = x.agg(F.max(F.size("x"))).first()[0] or 0
-    moments = Moments(_fit_list(x, dim), dim) if dim else None
+    many, dim = x.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    moments = Moments(_fit_list(x, dim, many), dim) if dim else None
     if moments is None or moments.trace <= 0:
         return spark.createDataFrame([], schema).withColumnRenamed("key", key)
     values, directions = components(moments.times, dim, wanted)

@@ -1,3 +1,6 @@
+import contextlib
+import uuid
+
 import numpy as np
 import pytest
 
@@ -75,3 +78,47 @@ def test_clusters_fill_the_block():
     found, vectors = whitening.components(lambda b: v @ b, 120)
     assert np.abs(found - values[:4]).max() < 1e-12
     assert np.abs(np.abs((vectors * q[:, :4]).sum(0)) - 1).max() < 1e-12
+
+
+@contextlib.contextmanager
+def settings(spark, held):
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def tasks_of(spark, work):
+    """How many tasks Spark started for what ``work`` does."""
+    name, context = uuid.uuid4().hex, spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    track = context.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup(name) for s in track.getJobInfo(j).stageIds}
+    return sum(track.getStageInfo(s).numTasks for s in stages)
+
+
+def test_tasks_of_a_pass_follow_the_vectors_and_not_the_shuffles(spark):
+    """Some forty passes over a small table: tasks that find nothing to do would cost more than the work."""
+    df = spark.createDataFrame(list(enumerate(vectors(5, 600, 40, np.linspace(0.2, 1, 40)))), "vec_id long, embedding array<float>")
+    with settings(spark, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64k"}):
+        assert tasks_of(spark, lambda: whitening.whiten(df).collect()) < 12 * 64
+
+
+def test_sums_of_many_tasks_meet_in_groups(spark, monkeypatch):
+    """More tasks than blocks may reach the driver at once, with parts of the fit list that hold a few vectors."""
+    monkeypatch.setattr(whitening, "ENTRIES", 100)
+    monkeypatch.setattr(whitening, "GROUPS", 2)
+    seen, summed = [], whitening.Moments.summed
+    monkeypatch.setattr(whitening.Moments, "summed", lambda self, *a: seen.append(self.tasks) or summed(self, *a))
+    rows = list(enumerate(vectors(6, 400, 12, np.linspace(0.2, 1, 12))))
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        check(spark, rows + [(900 + i, rows[0][1]) for i in range(50)])
+    assert min(seen) > 2
