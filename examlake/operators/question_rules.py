@@ -48,6 +48,11 @@ def _texts(options: Column) -> Column:
     return F.transform(options, lambda o: F.trim(F.coalesce(o["text"], F.lit(""))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda of ``body`` uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def filled(options: Column) -> Column:
     """How many options have a text."""
     return F.size(F.filter(_texts(options), lambda t: t != ""))
@@ -87,18 +92,23 @@ def stem_issues(stem: Column, least: int = 12) -> Column:
 
 def option_issues(options: Column, expected: Column | None = None, least: int = 2) -> Column:
     """Too few, empty, label-only, repeated and far too long options of an objective question."""
-    n, texts = filled(options), _texts(options)
+    return let(_texts(options), lambda texts: let(F.transform(texts, lambda t: F.lower(collapse(t))), lambda keys: _text_issues(texts, keys, expected, least)))
+
+
+def _text_issues(texts: Column, keys: Column, expected: Column | None, least: int) -> Column:
+    """The issues of options from their trimmed texts and their comparable forms."""
+    n = F.size(F.filter(texts, lambda t: t != ""))
+    each = lambda rule: F.flatten(F.filter(F.transform(texts, lambda t, i: F.when(t != "", rule(t, i))), lambda x: x.isNotNull()))
     labels = F.size(F.filter(texts, lambda t: (t != "") & label_only(t)))
-    keys = F.transform(texts, lambda t: F.lower(collapse(t)))
     lengths = F.array_sort(F.filter(F.transform(texts, F.char_length), lambda x: x > 0))
     median = F.greatest(F.coalesce(F.get(lengths, F.floor(F.size(lengths) / 2).cast("int")), F.lit(0)), F.lit(8))
-    far = F.filter(F.transform(texts, lambda t, i: F.when((F.char_length(t) > 4 * median) & (F.char_length(t) - median > 60), i)), lambda i: i.isNotNull())
+    far = let(median, lambda m: F.filter(F.transform(texts, lambda t, i: F.when((F.char_length(t) > 4 * m) & (F.char_length(t) - m > 60), i)), lambda i: i.isNotNull()))
     out = [
         when(n == 0, "no_options", "critical", "options"),
         when((n > 0) & (n < least), "too_few_options", "critical", "options"),
-        F.flatten(F.transform(texts, lambda t, i: when((t == "") & (i < n), "option_empty", "critical", at(i)))),
-        F.when((n >= 2) & (labels == n), F.array().cast(ISSUE)).otherwise(per_option(options, lambda t, i: when(label_only(t), "option_label_only", "critical", at(i)))),
-        per_option(options, lambda t, i: when(F.array_position(keys, F.lower(collapse(t))) <= i, "option_duplicate", "critical", at(i))),
+        let(n, lambda n: F.flatten(F.transform(texts, lambda t, i: when((t == "") & (i < n), "option_empty", "critical", at(i))))),
+        F.when((n >= 2) & (labels == n), F.array().cast(ISSUE)).otherwise(each(lambda t, i: when(label_only(t), "option_label_only", "critical", at(i)))),
+        each(lambda t, i: when(F.array_position(keys, F.get(keys, i)) <= i, "option_duplicate", "critical", at(i))),
         when((F.size(lengths) >= 3) & (F.size(far) > 0), "option_length_outlier", "major", F.coalesce(at(F.get(far, F.lit(0))), F.lit(""))),
     ]
     if expected is not None:
